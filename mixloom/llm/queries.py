@@ -7,9 +7,18 @@ from pyspark.sql import functions as F
 
 from mixloom.llm.events import events_sql
 from mixloom.llm.runs import collapse_runs
+from mixloom.llm.subsequences import frequent_subsequences
 from mixloom.session import table
 
 
+def p2_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return frequent_subsequences(table(spark, d, "actions_per_tstep"), table(spark, d, "action_names"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_patterns(spark, d).select("pattern")
+
+
 def p4_runs(spark: SparkSession, d: str) -> DataFrame:
     return collapse_runs(table(spark, d, "actions_per_tstep"), table(spark, d, "action_names"))
 
@@ -27,8 +36,29 @@ SELECT seq_id, min(action) AS action_name, min(tstep_id) AS first_tstep_id, max(
        max(tstep_id) - min(tstep_id) AS duration FROM placed GROUP BY seq_id, run
 """
 
-QUERIES = {"p4_found": p4_found, "p4_runs": p4_runs}
+_PATTERNS = f"""
+WITH {events_sql()},
+marked AS (SELECT *, lag(action) OVER (PARTITION BY seq_id ORDER BY tstep_id) AS before FROM ev),
+items AS (SELECT seq_id, action, row_number() OVER (PARTITION BY seq_id ORDER BY tstep_id) AS i FROM marked WHERE before IS NULL OR before <> action),
+own AS (SELECT * FROM items WHERE action IN (SELECT action_name FROM action_names)),
+two AS (SELECT a.seq_id, a.action || '>' || b.action AS pattern, b.i FROM own a JOIN own b ON a.seq_id = b.seq_id AND b.i > a.i AND b.i <= a.i + 3 GROUP BY ALL),
+three AS (SELECT a.seq_id, a.pattern || '>' || b.action AS pattern, b.i FROM two a JOIN own b ON a.seq_id = b.seq_id AND b.i > a.i AND b.i <= a.i + 3 GROUP BY ALL),
+four AS (SELECT a.seq_id, a.pattern || '>' || b.action AS pattern, b.i FROM three a JOIN own b ON a.seq_id = b.seq_id AND b.i > a.i AND b.i <= a.i + 3 GROUP BY ALL),
+held AS (SELECT pattern, 3 AS length, count(DISTINCT seq_id) AS support FROM three GROUP BY pattern
+         UNION ALL SELECT pattern, 4, count(DISTINCT seq_id) FROM four GROUP BY pattern),
+total AS (SELECT count(DISTINCT seq_id) AS n FROM ev)
+SELECT pattern, length, support, n AS n_sequences FROM held, total WHERE support >= 0.05 * n
+"""
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_patterns": p2_patterns,
+    "p4_found": p4_found,
+    "p4_runs": p4_runs,
+}
 SQL = {
+    "p2_found": f"SELECT pattern FROM ({_PATTERNS})",
+    "p2_patterns": _PATTERNS,
     "p4_found": f"SELECT seq_id, first_tstep_id, last_tstep_id FROM ({_RUNS}) WHERE n_events >= 2",
     "p4_runs": _RUNS,
 }
