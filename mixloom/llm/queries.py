@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from mixloom.llm.events import events_sql
 from mixloom.llm.runs import collapse_runs
+from mixloom.llm.splits import assign_splits, tied_groups
 from mixloom.llm.subsequences import frequent_subsequences
+from mixloom.llm.terms import term_frequencies
 from mixloom.session import table
 
 
@@ -19,6 +21,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_patterns(spark, d).select("pattern")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    tied = tied_groups(table(spark, d, "metadata_per_seq"), table(spark, d, "subj_aliases"))
+    return tied.where("first_seq_id <> seq_id").select("first_seq_id", "seq_id")
+
+
+def p3_splits(spark: SparkSession, d: str) -> DataFrame:
+    return assign_splits(table(spark, d, "metadata_per_seq"), table(spark, d, "subj_aliases"), table(spark, d, "split_shares"))
+
+
 def p4_runs(spark: SparkSession, d: str) -> DataFrame:
     return collapse_runs(table(spark, d, "actions_per_tstep"), table(spark, d, "action_names"))
 
@@ -36,6 +47,34 @@ SELECT seq_id, min(action) AS action_name, min(tstep_id) AS first_tstep_id, max(
        max(tstep_id) - min(tstep_id) AS duration FROM placed GROUP BY seq_id, run
 """
 
+def p5_terms(spark: SparkSession, d: str) -> DataFrame:
+    return term_frequencies(table(spark, d, "bow_tokens"), table(spark, d, "bow_docs"), table(spark, d, "vocab"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_terms(spark, d).where("mark IS NOT NULL").select("term", "mark")
+
+
+_TIED = """
+WITH RECURSIVE m AS (SELECT DISTINCT seq_id, subj_uid FROM metadata_per_seq WHERE seq_id IS NOT NULL),
+nodes AS (SELECT DISTINCT seq_id, coalesce('u' || subj_uid, 's' || seq_id) AS node FROM m),
+edges AS (SELECT 'u' || a.subj_uid AS a, 'u' || b.subj_uid AS b FROM m a JOIN m b ON a.seq_id = b.seq_id AND a.subj_uid <> b.subj_uid
+          UNION SELECT 'u' || subj_uid, 'u' || alias_uid FROM subj_aliases WHERE subj_uid IS NOT NULL AND alias_uid IS NOT NULL
+          UNION SELECT 'u' || alias_uid, 'u' || subj_uid FROM subj_aliases WHERE subj_uid IS NOT NULL AND alias_uid IS NOT NULL),
+reach(a, b) AS (SELECT DISTINCT node, node FROM nodes UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+tied AS (SELECT n.seq_id, min(o.seq_id) AS first_seq_id FROM nodes n JOIN reach r ON r.a = n.node JOIN nodes o ON o.node = r.b GROUP BY n.seq_id)
+"""
+
+_TERMS = """
+WITH t AS (SELECT token_pos, min(doc_id) AS doc_id, min(word_id) AS word_id, min(word_count) AS word_count FROM bow_tokens
+           WHERE word_count > 0 AND NOT isnan(word_count) AND word_id IS NOT NULL GROUP BY token_pos),
+r AS (SELECT DISTINCT doc_id, doc_range[1] AS a, doc_range[2] AS z FROM bow_docs),
+e AS (SELECT coalesce(t.doc_id, r.doc_id) AS doc_id, t.word_id, t.word_count FROM t LEFT JOIN r ON t.doc_id IS NULL AND t.token_pos >= r.a AND t.token_pos < r.z),
+v AS (SELECT word_id, nfc_normalize(lower(trim(nfc_normalize(term), ' ' || chr(9) || chr(10) || chr(13)))) AS term FROM vocab WHERE term IS NOT NULL),
+s AS (SELECT v.term, sum(e.word_count) AS total, count(DISTINCT e.doc_id) AS n_docs FROM e JOIN v USING (word_id) WHERE v.term <> '' GROUP BY v.term)
+SELECT term, total, n_docs, CASE WHEN total < 5 OR n_docs < 3 THEN 'rare' WHEN n_docs > 0.2 * (SELECT count(DISTINCT doc_id) FROM bow_docs) THEN 'common' END AS mark FROM s
+"""
+
 _PATTERNS = f"""
 WITH {events_sql()},
 marked AS (SELECT *, lag(action) OVER (PARTITION BY seq_id ORDER BY tstep_id) AS before FROM ev),
@@ -53,12 +92,19 @@ SELECT pattern, length, support, n AS n_sequences FROM held, total WHERE support
 QUERIES = {
     "p2_found": p2_found,
     "p2_patterns": p2_patterns,
+    "p3_found": p3_found,
+    "p3_splits": p3_splits,
     "p4_found": p4_found,
     "p4_runs": p4_runs,
+    "p5_found": p5_found,
+    "p5_terms": p5_terms,
 }
 SQL = {
     "p2_found": f"SELECT pattern FROM ({_PATTERNS})",
     "p2_patterns": _PATTERNS,
     "p4_found": f"SELECT seq_id, first_tstep_id, last_tstep_id FROM ({_RUNS}) WHERE n_events >= 2",
     "p4_runs": _RUNS,
+    "p3_found": f"{_TIED} SELECT first_seq_id, seq_id FROM tied WHERE first_seq_id <> seq_id",
+    "p5_found": f"SELECT term, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",
+    "p5_terms": _TERMS,
 }
