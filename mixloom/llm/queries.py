@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixloom.llm.events import events_sql
+from mixloom.llm.packing import pack_windows
 from mixloom.llm.runs import collapse_runs
 from mixloom.llm.splits import assign_splits, tied_groups
 from mixloom.llm.subsequences import frequent_subsequences
@@ -55,6 +56,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_terms(spark, d).where("mark IS NOT NULL").select("term", "mark")
 
 
+def p6_windows(spark: SparkSession, d: str) -> DataFrame:
+    return pack_windows(table(spark, d, "documents"))
+
+
 _TIED = """
 WITH RECURSIVE m AS (SELECT DISTINCT seq_id, subj_uid FROM metadata_per_seq WHERE seq_id IS NOT NULL),
 nodes AS (SELECT DISTINCT seq_id, coalesce('u' || subj_uid, 's' || seq_id) AS node FROM m),
@@ -98,6 +103,7 @@ QUERIES = {
     "p4_runs": p4_runs,
     "p5_found": p5_found,
     "p5_terms": p5_terms,
+    "p6_windows": p6_windows,
 }
 SQL = {
     "p2_found": f"SELECT pattern FROM ({_PATTERNS})",
