@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixloom.llm.events import events_sql
+from mixloom.llm.leaks import eval_leaks
 from mixloom.llm.packing import pack_windows
 from mixloom.llm.runs import collapse_runs
 from mixloom.llm.splits import assign_splits, tied_groups
@@ -60,6 +61,14 @@ def p6_windows(spark: SparkSession, d: str) -> DataFrame:
     return pack_windows(table(spark, d, "documents"))
 
 
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return eval_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("doc_id", "item_id")
+
+
 _TIED = """
 WITH RECURSIVE m AS (SELECT DISTINCT seq_id, subj_uid FROM metadata_per_seq WHERE seq_id IS NOT NULL),
 nodes AS (SELECT DISTINCT seq_id, coalesce('u' || subj_uid, 's' || seq_id) AS node FROM m),
@@ -104,6 +113,8 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_terms": p5_terms,
     "p6_windows": p6_windows,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
 }
 SQL = {
     "p2_found": f"SELECT pattern FROM ({_PATTERNS})",
