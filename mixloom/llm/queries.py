@@ -9,6 +9,7 @@ from mixloom.llm.events import events_sql
 from mixloom.llm.leaks import eval_leaks
 from mixloom.llm.packing import pack_windows
 from mixloom.llm.runs import collapse_runs
+from mixloom.llm.spam import spam_pages
 from mixloom.llm.splits import assign_splits, tied_groups
 from mixloom.llm.subsequences import frequent_subsequences
 from mixloom.llm.terms import term_frequencies
@@ -69,6 +70,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).select("doc_id", "item_id")
 
 
+def p8_pages(spark: SparkSession, d: str) -> DataFrame:
+    return spam_pages(table(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_pages(spark, d).select("doc_id")
+
+
 _TIED = """
 WITH RECURSIVE m AS (SELECT DISTINCT seq_id, subj_uid FROM metadata_per_seq WHERE seq_id IS NOT NULL),
 nodes AS (SELECT DISTINCT seq_id, coalesce('u' || subj_uid, 's' || seq_id) AS node FROM m),
@@ -115,6 +124,8 @@ QUERIES = {
     "p6_windows": p6_windows,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
+    "p8_found": p8_found,
+    "p8_pages": p8_pages,
 }
 SQL = {
     "p2_found": f"SELECT pattern FROM ({_PATTERNS})",
