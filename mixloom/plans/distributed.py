@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterator
 
@@ -50,11 +51,8 @@ def summed(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[Ar
     Each partition yields one block of arrays; blocks are added per slot by tasks, and the
     driver adds as many blocks as there are slots (about the root of the partitions).
     """
-    shapes_seen = "shapes"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
         from pyspark import TaskContext
 
         total: Arrays | None = None
@@ -66,9 +64,7 @@ def summed(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[Ar
                     total[k] = total[k] + v
         if total is not None:
             shapes = json.dumps({k: list(np.shape(v)) for k, v in total.items()})
-            yield pa.RecordBatch.from_pydict({"slot": pa.array([TaskContext.get().partitionId()], pa.int32()), "payload": pa.array([pack(total)], pa.binary()), shapes_seen: pa.array([shapes])})
-
-    import json
+            yield pa.RecordBatch.from_pydict({"slot": pa.array([TaskContext.get().partitionId()], pa.int32()), "payload": pa.array([pack(total)], pa.binary()), "shapes": pa.array([shapes])})
 
     blocks = df.mapInArrow(run, PAYLOAD + ", shapes string")
     n = df.rdd.getNumPartitions() if slots is None else slots**2
@@ -80,7 +76,7 @@ def summed(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[Ar
 
         blocks = blocks.withColumn("slot", F.col("slot") % width).groupBy("slot").applyInPandas(add, PAYLOAD + ", shapes string")
     total = None
-    for r in blocks.toLocalIterator():
+    for r in blocks.collect():  # at most 64 blocks, or as many as slots
         part = unpack(bytes(r["payload"]), {k: tuple(v) for k, v in json.loads(r["shapes"]).items()})
         total = part if total is None else {k: total[k] + v for k, v in part.items()}
     return total
