@@ -292,12 +292,6 @@ class Memo:
             self.blocks[i] = merge_components(s, a, b, exact)
         self.uids.pop(b)
 
-    def remove(self, drop: list[int]) -> None:
-        k = len(self.uids)
-        for i, s in self.blocks.items():
-            self.blocks[i] = remove_components(s, drop, k)
-        self.uids = [u for i, u in enumerate(self.uids) if i not in set(drop)]
-
     def reorder(self, order) -> None:
         for i, s in self.blocks.items():
             self.blocks[i] = reorder_components(s, order)
@@ -394,10 +388,16 @@ def _after_lap(df, key, model, memo, plan, moves, lap, seed, result, tried, n_to
             memo.reorder(order)
             log("shuffle", True)
             moved = True
-        small = [i for i, n in enumerate(_sum_blocks(memo.blocks)["N"]) if n < 1e-3]
+        total = _sum_blocks(memo.blocks)
+        small = [i for i, n in enumerate(total["N"]) if n < 1e-3]
         if small and len(small) < len(memo.uids):
-            memo.remove(small)
-            moved = True
+            blocks = _rescored(df, model, model.global_step(remove_components(total, small, len(memo.uids))), memo)
+            ok = model.objective(_sum_blocks(blocks)) >= model.objective(total) - moves.tolerance * model.scale(n_total)
+            log("prune", ok, uids=tuple(memo.uids[i] for i in small))
+            if ok:
+                memo.uids = [u for i, u in enumerate(memo.uids) if i not in set(small)]
+                memo.blocks = blocks
+                moved = True
     return moved
 
 
@@ -467,7 +467,8 @@ def _birth(df, key, model, memo, moves, lap, seed, log) -> bool:
     uids = [u for i, u in enumerate(memo.uids) if i != target]
     small = [i for i, n in enumerate(grown["N"]) if n < 1]
     if small:
-        blocks = {b: remove_components(s, small, len(grown["N"])) for b, s in blocks.items()}
+        # scored again without them, so that no row loses mass
+        blocks = _rescored(df, model, model.global_step(remove_components(grown, small, len(grown["N"]))), memo)
         best = model.objective(_sum_blocks(blocks))
     ok = best > model.objective(now)
     log("birth", ok, uids=(memo.uids[target],))
