@@ -41,40 +41,44 @@ def connected_components(edges: DataFrame, *, edges_per_task: int = 1_000_000, f
     """(node, component) for every node of ``edges`` (a BIGINT, b BIGINT) with a neighbour;
     ``component`` is the smallest node that is connected with it.
 
-    Each task runs union-find over its edges and keeps a forest of (node, local root). A node
-    with several local roots links them to the smallest; those links are the edges of the next
-    round, merged in ``fan_in`` times fewer tasks, but never more than about
-    ``edges_per_task`` edges to one. A round settles every node that is not the smallest of
-    all its local trees, so the rest shrinks quickly; what was settled is resolved backwards,
-    round by round. Nothing is collected on the driver, and a node of very many edges comes
-    to a round at most once per task of the round before.
+    Each task runs union-find over its edges and keeps a forest of (node, local root), so of
+    any number of edges one per node and task is left. Forests are merged in ``fan_in`` times
+    fewer tasks per round. As long as there are more than ``edges_per_task`` edges for one
+    task, a round also merges trees across tasks: nodes toss a coin (a hash of node and
+    round), and each node of one side joins its smallest neighbour of the other, which settles
+    about a quarter of the nodes. The last forest is one task's; settled nodes are resolved
+    backwards, round by round. Nothing is collected on the driver.
 
     Null ends and self-loops tie nothing; repeated edges change nothing; no edges, no rows.
     """
     rest = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
     rest = cut(rest)
-    settled, tasks = [], None
-    while (n := rest.count()) > 0:
-        fewest = -(-n // edges_per_task)
-        tasks = fewest if tasks is None else max(fewest, tasks // fan_in)
-        tasks = max(1, tasks)
+    settled, round_ = [], 0
+    tasks = max(1, -(-rest.count() // edges_per_task))
+    while True:
         forest = cut(rest.repartition(tasks, "b").mapInPandas(_local_forest, "node bigint, root bigint"))
-        to = forest.groupBy("node").agg(F.min("root").alias("to"))
-        links = forest.join(to, "node").where("root <> to").select(F.col("to").alias("a"), F.col("root").alias("b")).distinct() if tasks > 1 else None
-        settled.append(to)
-        if links is None:
+        if tasks == 1:
+            known = forest.select("node", F.col("root").alias("component"))
             break
-        rest = cut(links)
-    spark = edges.sparkSession
-    if not settled:
-        return spark.createDataFrame([], "node bigint, component bigint")
-    found = settled.pop()
-    known = found.select("node", F.col("to").alias("component"))
+        kept = forest.select(F.col("root").alias("a"), F.col("node").alias("b")).distinct()
+        both = kept.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(kept.select(F.col("b").alias("node"), F.col("a").alias("to")))
+        coin = lambda c: F.pmod(F.xxhash64(c, F.lit(round_)), F.lit(2))  # noqa: E731, B023
+        to = cut(both.where((coin("node") == 1) & (coin("to") == 0)).groupBy("node").agg(F.min("to").alias("to")))
+        settled.append(to)
+        at = lambda e: to.select(F.col("node").alias(e), F.col("to").alias(f"to_{e}"))  # noqa: E731, B023
+        moved = kept.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b")).where("a <> b")
+        rest = cut(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        round_ += 1
+        tasks = max(-(-rest.count() // edges_per_task), tasks // fan_in, 1)
+    several = bool(settled)
     while settled:
         lower = settled.pop().join(known.withColumnRenamed("node", "to"), "to", "left").select("node", F.coalesce("component", "to").alias("component"))
-        known = cut(lower.unionByName(known).groupBy("node").agg(F.min("component").alias("component")))
-    roots = known.select(F.col("component").alias("node"), "component").distinct()
-    return known.unionByName(roots)
+        known = cut(lower.unionByName(known))
+    known = known.unionByName(known.select(F.col("component").alias("node"), "component").distinct()).distinct()
+    if not several:
+        return known
+    least = known.groupBy("component").agg(F.min("node").alias("least"))
+    return known.join(least, "component").select("node", F.col("least").alias("component"))
 
 
 def tied_groups(trials: DataFrame, aliases: DataFrame) -> DataFrame:
