@@ -68,7 +68,7 @@ def events(steps: DataFrame, dictionary: DataFrame, *, block: int, halo: int = 0
 
     ``block`` steps form a block, so that a sequence of any length is spread over many
     tasks. With ``halo``, a block also gets the last ``halo`` steps before it, marked as
-    not ``own``. One shuffle by (seq_id, block) serves this and what follows per block.
+    not ``own``. Repeated loggings of a step are reduced before the shuffle.
     """
     rows = steps.select("seq_id", "tstep_id", "action_name", "logged_at").where("seq_id IS NOT NULL AND tstep_id IS NOT NULL AND action_name IS NOT NULL")
     rows = proper_names(rows, "action_name", dictionary).where(F.col("action").isNotNull())

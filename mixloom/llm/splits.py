@@ -141,14 +141,15 @@ def greedy_quotas(classes: list[tuple[int, int]], shares: dict[str, float]) -> d
     return out
 
 
-def assign_splits(trials: DataFrame, aliases: DataFrame, shares: DataFrame, *, buckets: int = 64) -> DataFrame:
+def assign_splits(trials: DataFrame, aliases: DataFrame, shares: DataFrame, *, buckets: int = 64, ranked_per_task: int = 1_000_000) -> DataFrame:
     """Every distinct non-null ``seq_id`` with its group and split: (seq_id, first_seq_id, split_name).
 
     Groups of tied trials (``tied_groups``) go, largest first, to the split furthest below its
     share of the trials. The greedy run needs only the number of groups per size: there are at
     most sqrt(2 N) sizes for N trials, so that histogram, and nothing else, is read by the
     driver. Within a size, groups are ranked by a hash of their id, in two levels
-    (``buckets`` per size), so the many groups of size one never meet in one task.
+    (``buckets`` per size, more where that leaves above ``ranked_per_task`` each), so the many
+    groups of size one never meet in one task.
 
     Shares are normalised by their sum; null, negative and repeated names are errors. Empty
     trials give no rows. Repeated trial rows count once.
@@ -157,6 +158,7 @@ def assign_splits(trials: DataFrame, aliases: DataFrame, shares: DataFrame, *, b
     if not want or any(k is None or v is None or not v >= 0 for k, v in want.items()) or sum(want.values()) <= 0:
         raise ValueError("splits need names and shares of at least zero, not all zero")
     tied = cut(tied_groups(trials, aliases))
+    buckets = max(buckets, -(-tied.count() // ranked_per_task))
     groups = tied.groupBy("first_seq_id").agg(F.count("*").alias("size"))
     groups = cut(groups.withColumn("bucket", F.pmod(F.xxhash64("first_seq_id"), F.lit(buckets))))
     counts = groups.groupBy("size", "bucket").agg(F.count("*").alias("n"))
@@ -173,5 +175,6 @@ def assign_splits(trials: DataFrame, aliases: DataFrame, shares: DataFrame, *, b
     offsets = counts.withColumn("offset", offset).select("size", "bucket", "offset")
     rank = F.row_number().over(Window.partitionBy("size", "bucket").orderBy(F.xxhash64("first_seq_id"), "first_seq_id")) - 1
     placed = groups.withColumn("rank", rank).join(offsets, ["size", "bucket"]).withColumn("rank", F.col("rank") + F.col("offset"))
-    placed = placed.join(quota, "size").where("rank >= since AND rank < until").select("first_seq_id", "split_name")
+    # at most sqrt(2 N) sizes times the splits, so broadcast: most groups have size one, which as a join key would be one task's
+    placed = placed.join(F.broadcast(quota), "size").where("rank >= since AND rank < until").select("first_seq_id", "split_name")
     return tied.join(placed, "first_seq_id").select("seq_id", "first_seq_id", "split_name")
