@@ -196,6 +196,80 @@ def fit_topics(docs: DataFrame, model: TopicModel, k: int, *, alg: str = "vb", l
     return result
 
 
+class GroupTopicModel(TopicModel):
+    """Topics over groups of vectors: any likelihood in place of word probabilities. A group is one row
+    (seq_id or doc_id, n, x[, y]) as made by ``sequences_as_rows``; order within it does not matter."""
+
+    def __init__(self, obs, *, hdp: bool = False, alpha: float = 0.5, gamma: float = 1.0, iters: int = 50, tol: float = 0.01):
+        self.obs, self.hdp, self.alpha, self.gamma = obs, hdp, alpha, gamma
+        self.iters, self.tol, self.restarts = iters, tol, 0
+        self.name = ("HDPTopic" if hdp else "FiniteTopic") + f" x {obs.name}"
+
+    def start_from(self, stats: dict, n_docs: float) -> dict:
+        k = len(stats["N"])
+        out = {"obs": self.obs.nat(stats), "lam": np.zeros((k, 1))}
+        if self.hdp:
+            out["rho"], out["omega"] = first_sticks(k, n_docs, self.gamma)
+        return out
+
+    def lap(self, docs: DataFrame, params: dict) -> dict | None:
+        prior, post, obs = self.prior_of(params), self.obs.post(params["obs"]), self.obs
+        k, iters, tol = len(params["lam"]), self.iters, self.tol
+
+        def step(records):
+            for r in records:
+                for n, x in zip(r.column("n").to_pylist(), r.column("x").to_pylist()):
+                    if not n:
+                        continue
+                    batch = {"x": np.asarray(x, float).reshape(n, -1)}
+                    log = obs.score(batch, post)
+                    lik = np.exp(log - log.max(1, keepdims=True))
+                    count, resp = doc_step(lik, np.ones(n), prior[:k], iters=iters, tol=tol)
+                    theta = prior.copy()
+                    theta[:k] += count
+                    yield obs.stats(batch, resp) | {
+                        "entropy": -(resp * np.log(np.where(resp > 1e-300, resp, 1.0))).sum(0), "sumLogPi": digamma(theta) - digamma(theta.sum()),
+                        "docBound": np.array([-dirichlet_c(theta)]), "nDoc": np.ones(1), "tokens": np.array([float(n)]),
+                    }
+
+        stats = summed(docs.select("n", "x"), step)
+        if stats is not None:
+            stats["priorSeen"] = prior * stats["nDoc"][0]
+        return stats
+
+    def global_step(self, stats: dict, params: dict) -> dict:
+        word = {"WordCounts": np.zeros((len(stats["N"]), 1)), "nDoc": stats["nDoc"], "sumLogPi": stats["sumLogPi"]}
+        saved, self.obs = self.obs, Mult(1)
+        try:
+            out = super().global_step(word, params)
+        finally:
+            self.obs = saved
+        return out | {"obs": self.obs.nat(stats), "lam": np.zeros((len(stats["N"]), 1))}
+
+    def objective(self, stats: dict, params: dict) -> float:
+        n, k = float(stats["nDoc"][0]), len(stats["N"])
+        total = self.obs.objective(stats, params["obs"]) + float(stats["entropy"].sum()) + float(stats["docBound"][0])
+        slack = (n * self.prior_of(params) - stats["priorSeen"]) @ (stats["sumLogPi"] / n)
+        if not self.hdp:
+            return total + n * float(dirichlet_c(self.prior_of(params))) + float(slack)
+        top, _ = sticks_objective(params["rho"], params["omega"], n_rows=n, gamma=self.gamma, pull=np.zeros(k + 1))
+        return total + top + n * k * np.log(self.alpha) + float(slack)
+
+
+def fit_group_topics(docs: DataFrame, model: GroupTopicModel, k: int, *, laps: int = 5, seed: int = 0) -> FitResult:
+    """VB over all groups; starts from even stretches of random groups."""
+    from mixloom.models.hmm import HMM
+
+    stats = HMM(model.obs).first_stats(docs, k, seed)
+    params, result = model.start_from(stats, docs.count()), FitResult({}, {}, uids=list(range(k)))
+    for lap in range(1, laps + 1):
+        stats = model.lap(docs, params)
+        params = model.global_step(stats, params)
+        result.trace.append({"lap": lap, "loss": float(-model.objective(stats, params) / model.obs.scale(float(stats["tokens"][0]))), "k": k})
+    result.params, result.stats = params, stats
+    return result
+
+
 def heldout_scores(docs: DataFrame, model: TopicModel, params: dict) -> DataFrame:
     """(doc_id, n_heldout, loglik, auc, r_precision, k_active) per document.
 

@@ -46,12 +46,32 @@ class FitResult:
         return [t["loss"] for t in self.trace]
 
 
+#: Cells of the dense block into which sparse rows are spread for scoring.
+DENSE_CELLS = 4_000_000
+
+
 def batch_columns(df: DataFrame) -> list[str]:
-    return [c for c in ("x", "xprev", "y") if c in df.columns]
+    return [c for c in ("x", "xprev", "y", "ids", "counts") if c in df.columns]
+
 
+def as_batch(record, cols: list[str], width: int | None = None) -> dict:
+    """Numpy arrays of a record batch; sparse rows (ids, counts) become dense rows ``x`` of ``width``."""
+    if "ids" not in cols:
+        return {c: column_matrix(record, c) for c in cols}
+    x = np.zeros((record.num_rows, width))
+    for i, (ids, counts) in enumerate(zip(record.column("ids").to_pylist(), record.column("counts").to_pylist())):
+        np.add.at(x[i], np.asarray(ids or [], int), np.asarray(counts or [], float))
+    return {"x": x}
 
-def as_batch(record, cols: list[str]) -> dict:
-    return {c: column_matrix(record, c) for c in cols}
+
+def batches_of(records, cols: list[str], model: Mixture):
+    """(record, batch) pairs, sparse ones cut so that the dense block stays small."""
+    width = getattr(model.obs, "vocab", getattr(model.obs, "dim", None))
+    for r in records:
+        step = max(1, DENSE_CELLS // width) if "ids" in cols else max(1, r.num_rows)
+        for at in range(0, r.num_rows, step):
+            part = r.slice(at, step)
+            yield part, as_batch(part, cols, width)
 
 
 def one_pass(df: DataFrame, score_of: Callable[[dict], np.ndarray], model: Mixture, *, keep: int | None = None, pairs=()) -> dict | None:
@@ -59,10 +79,8 @@ def one_pass(df: DataFrame, score_of: Callable[[dict], np.ndarray], model: Mixtu
     cols = batch_columns(df)
 
     def step(records):
-        for r in records:
-            if r.num_rows:
-                b = as_batch(r, cols)
-                yield model.summary(b, score_of(b), keep, pairs) | {"n": np.array([r.num_rows])}
+        for r, b in batches_of(records, cols, model):
+            yield model.summary(b, score_of(b), keep, pairs) | {"n": np.array([r.num_rows])}
 
     return summed(df.select(*cols), step)
 
@@ -73,7 +91,12 @@ def draw_rows(df: DataFrame, key: str, k: int, seed: int) -> list:
     return df.orderBy(h, key).limit(k).collect()
 
 
-def _as_rows(rows, cols):
+def _as_rows(rows, cols, model):
+    if "ids" in cols:
+        x = np.zeros((len(rows), getattr(model.obs, "vocab", getattr(model.obs, "dim", None))))
+        for i, r in enumerate(rows):
+            np.add.at(x[i], np.asarray(r["ids"], int), np.asarray(r["counts"], float))
+        return {"x": x}
     return {c: np.array([r[c] for r in rows], dtype=float) for c in cols}
 
 
@@ -95,7 +118,7 @@ def init_stats(df: DataFrame, key: str, model: Mixture, k: int, *, seed: int = 0
     if how != "randexamples":
         rng = np.random.RandomState(seed)
         while len(rows) < k:
-            centres = _as_rows(rows, cols)
+            centres = _as_rows(rows, cols, model)
             own = _one_hot_stats(model, centres)
             spread = None if how != "bregman" else own
 
@@ -103,11 +126,11 @@ def init_stats(df: DataFrame, key: str, model: Mixture, k: int, *, seed: int = 0
                 d = model.obs.divergence(b, spread) if spread is not None else ((b["x"][:, None, :] - centres["x"][None]) ** 2).sum(2)
                 return d.min(1)
 
-            nxt = _weighted_draw(df, key, cols, gaps, int(rng.randint(1 << 30)))
+            nxt = _weighted_draw(df, key, cols, model, gaps, int(rng.randint(1 << 30)))
             if nxt is None:
                 break  # fewer distinct rows than components
             rows.append(nxt)
-    stats = _one_hot_stats(model, _as_rows(rows, cols))
+    stats = _one_hot_stats(model, _as_rows(rows, cols, model))
     for _ in range({"kmeans": 5, "bregman": 3}.get(how, 0)):
         if how == "bregman":
             score = lambda b, s=stats: -1e6 * model.obs.divergence(b, s)
@@ -129,15 +152,14 @@ def _one_hot_stats(model: Mixture, rows: dict) -> dict:
 
 def _stats_by_label(df, cols, model, k):
     def step(records):
-        for r in records:
-            if r.num_rows:
-                z = column_matrix(r, "_z").astype(int)
-                yield model.obs.stats(as_batch(r, cols), np.eye(k)[z]) | {"entropy": np.zeros(k)}
+        for r, b in batches_of(records, cols, model):
+            z = column_matrix(r, "_z").astype(int)
+            yield model.obs.stats(b, np.eye(k)[z]) | {"entropy": np.zeros(k)}
 
     return summed(df.select(*cols, F.col("_z").cast("double").alias("_z")), step)
 
 
-def _weighted_draw(df, key, cols, weight_of, seed):
+def _weighted_draw(df, key, cols, model, weight_of, seed):
     """One row with chance proportional to its weight: the smallest -ln(u) / weight over all rows."""
 
     def step(records):
@@ -146,8 +168,8 @@ def _weighted_draw(df, key, cols, weight_of, seed):
         import pyarrow as pa
 
         best = None
-        for r in records:
-            w = weight_of(as_batch(r, cols))
+        for r, b in batches_of(records, cols, model):
+            w = weight_of(b)
             for i, k in enumerate(r.column(key).to_pylist()):
                 if w[i] > 0:
                     u = (int(hashlib.md5(f"{k}|{seed}".encode()).hexdigest()[:12], 16) + 1) / (16**12 + 1)
@@ -441,9 +463,9 @@ def _birth(df, key, model, memo, moves, lap, seed, log) -> bool:
     def own(records):
         import pyarrow as pa
 
-        for r in records:
+        for r, b in batches_of(records, cols, model):
             if r.num_rows:
-                s = score(as_batch(r, cols))
+                s = score(b)
                 top = s - s.max(1, keepdims=True)
                 resp = np.exp(top) / np.exp(top).sum(1, keepdims=True)
                 yield r.filter(pa.array(resp[:, target] > moves.birth_least))
@@ -453,7 +475,7 @@ def _birth(df, key, model, memo, moves, lap, seed, log) -> bool:
     drawn = draw_rows(targeted, key, moves.k_fresh, seed + lap)
     if len(drawn) < 2:
         return False
-    fresh = _one_hot_stats(model, _as_rows(drawn, cols))
+    fresh = _one_hot_stats(model, _as_rows(drawn, cols, model))
     # the fresh components share the target's mass; the target itself goes
     share = now["N"][target] / len(drawn)
     fresh = {k2: v * share for k2, v in fresh.items()}
@@ -479,6 +501,40 @@ def _birth(df, key, model, memo, moves, lap, seed, log) -> bool:
     return ok
 
 
+def fit_gibbs(df: DataFrame, key: str, model: Mixture, k: int, *, sweeps: int = 10, seed: int = 0, most: int = 100_000) -> FitResult:
+    """Collapsed Gibbs sampling over at most ``most`` rows (else an error): each row leaves its component
+    and draws a new one by prior count times the predictive density. Sequential by nature, so it
+    runs on the driver; the loss is minus the log marginal likelihood per row, and need not fall."""
+    cols = batch_columns(df)
+    rows = df.select(key, *cols).orderBy(key).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"collapsed Gibbs sampling is for at most {most} rows")
+    batch, rng, obs = _as_rows(rows, cols, model), np.random.RandomState(seed), model.obs
+    one = [obs.increments(obs.stats({c: v[i : i + 1] for c, v in batch.items()}, np.ones((1, 1)))) for i in range(len(rows))]
+    z = rng.randint(k, size=len(rows))
+    stats = obs.stats(batch, np.eye(k)[z])
+    nat, n = obs.nat(stats), np.bincount(z, minlength=k).astype(float)
+    share = getattr(model.alloc, "gamma", getattr(model.alloc, "gamma0", 1.0)) / k
+    result = FitResult({}, {}, uids=list(range(k)))
+    for sweep in range(1, sweeps + 1):
+        for i in rng.permutation(len(rows)):
+            for p in nat:
+                nat[p][z[i]] -= one[i][p][0]
+            n[z[i]] -= 1
+            with_row = {p: nat[p] + one[i][p] for p in nat}
+            log_p = np.log(n + share) + obs.cumulant(obs.post(nat)) - obs.cumulant(obs.post(with_row))
+            w = np.exp(log_p - log_p.max())
+            z[i] = np.searchsorted(np.cumsum(w), rng.rand() * w.sum())
+            for p in nat:
+                nat[p][z[i]] += one[i][p][0]
+            n[z[i]] += 1
+        stats = obs.stats(batch, np.eye(k)[z]) | {"entropy": np.zeros(k)}
+        nat = obs.nat(stats)  # no drift from adding and taking away
+        result.trace.append({"lap": sweep, "loss": -model.objective(stats) / model.scale(len(rows)), "k": k})
+    result.params, result.stats = model.global_step(stats), stats
+    return result
+
+
 def assign(df: DataFrame, key: str, model: Mixture, params: dict) -> DataFrame:
     """(key, component, log_evidence) of each row; the lowest component on ties."""
     score, cols = model.scorer(params), batch_columns(df)
@@ -488,9 +544,9 @@ def assign(df: DataFrame, key: str, model: Mixture, params: dict) -> DataFrame:
 
         from mixloom.functions.numeric import log_sum_exp
 
-        for r in records:
+        for r, b in batches_of(records, cols, model):
             if r.num_rows:
-                s = score(as_batch(r, cols))
+                s = score(b)
                 yield pa.RecordBatch.from_pydict({key: r.column(key), "component": pa.array(s.argmax(1).astype(np.int32)), "log_evidence": pa.array(log_sum_exp(s))})
 
     return df.select(F.col(key).cast("bigint").alias(key), *cols).mapInArrow(step, f"{key} bigint, component int, log_evidence double")

@@ -13,7 +13,7 @@ from mixloom.models.hmm import HMM, decode, fit_hmm, sequences_as_rows
 from mixloom.models.likelihoods import AutoRegGauss, Bern, DiagGauss, Gauss, GaussRegress, Joint, ZeroMeanGauss
 from mixloom.models.mixtures import DPMixture, FiniteMixture, Mixture
 from mixloom.models.relational import BlockModel, fit_blocks
-from mixloom.models.topics import TopicModel, documents_as_rows, fit_topics, heldout_scores
+from mixloom.models.topics import GroupTopicModel, TopicModel, documents_as_rows, fit_group_topics, fit_topics, heldout_scores
 from mixloom.operators import datasets as D
 from mixloom.operators import graph as G
 from mixloom.plans import fit as P
@@ -90,6 +90,23 @@ def _bag_rows(spark, d):
     return cut(D.with_batches(documents_as_rows(bag), "doc_id", 3)), v
 
 
+def q_mult_mixture_fit(spark, d):
+    from mixloom.models.likelihoods import Mult
+
+    docs, v = _bag_rows(spark, d)
+    return _trace(spark, P.fit_vb(docs, "doc_id", Mixture(DPMixture(), Mult(v)), 5, laps=4))
+
+
+def q_gibbs_fit(spark, d):
+    v = _vectors(spark, d).withColumn("x", F.slice("x", 1, 4))
+    return _trace(spark, P.fit_gibbs(v, "vec_id", Mixture(DPMixture(), DiagGauss(4, var=0.02)), 5, sweeps=3))
+
+
+def q_group_topics_fit(spark, d):
+    groups = _sequences(spark, d)
+    return _trace(spark, fit_group_topics(groups, GroupTopicModel(DiagGauss(12, var=4.0), hdp=True), 5, laps=4))
+
+
 def q_lda_fit(spark, d):
     docs, v = _bag_rows(spark, d)
     return _trace(spark, fit_topics(docs, TopicModel(v), 6, laps=4))

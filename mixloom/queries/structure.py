@@ -9,6 +9,7 @@ from mixloom.operators import datasets as D
 from mixloom.operators import graph as G
 from mixloom.operators import runs as R
 from mixloom.operators import sequences as S
+from mixloom.operators import starts as T
 from mixloom.operators import vectors as V
 from mixloom.session import table
 
@@ -200,6 +201,38 @@ def q_auc_ranksum(spark, d):
     return R.auc(_events(spark, d), "value", F.col("event_type") == "purchase").withColumn("auc", F.round("auc", 6))
 
 
+def q_misaligned(spark, d):
+    return T.misaligned(_found(spark, d), "label", "nearest").withColumn("share", F.round("share", 6))
+
+
+def q_label_resp(spark, d):
+    resp = T.resp_from_labels(F.col("label"), 4)
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode(T.with_empty(resp, 1)).alias("k", "r"))
+
+
+def q_subdivided_blocks(spark, d):
+    e = _events(spark, d).withColumn("z", F.when(F.col("event_type") == "click", 0).otherwise(1))
+    return T.subdivided(e, "user_id", ORDER, "z", 2).select("event_id", F.col("sub").cast("bigint").alias("sub"))
+
+
+def q_word_matrix(spark, d):
+    from mixloom.operators import bow
+
+    return T.doc_word_matrix(bow.count_words(table(spark, d, "documents")), ["the", "this", "our", "die"])
+
+
+def q_move_budget(spark, d):
+    c = _comps(spark, d)
+    w = Window.orderBy(F.desc("n"), "k")
+    return T.within_budget(c.withColumn("tier", F.row_number().over(w)), "tier", "n", 5000)
+
+
+def q_fill_subset(spark, d):
+    e = _events(spark, d).select("event_id", "value")
+    part = e.where("value > 50").withColumn("value", -F.col("value"))
+    return T.filled(e, part, "event_id", "value")
+
+
 _EV = "WITH e AS (SELECT user_id, ts, event_id, event_type, value FROM events), p AS (SELECT *, lag(value) OVER w AS pv, lag(event_type) OVER w AS pt, row_number() OVER w AS i FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
 _ED = f"WITH u AS (SELECT src, dst, count(*) AS n FROM (SELECT o_custkey AS src, l_suppkey + {SUPPLIER_OFFSET} AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey) WHERE src <> dst GROUP BY ALL), st AS (SELECT c_custkey AS node, c_nationkey AS state FROM customer UNION ALL SELECT s_suppkey + {SUPPLIER_OFFSET}, s_nationkey FROM supplier)"
 _K = "WITH c AS (SELECT o_custkey % 25 AS k, count(*) AS n FROM orders GROUP BY 1), l AS (SELECT *, coalesce(sum(n) OVER (ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)::BIGINT AS n_later FROM c)"
@@ -239,6 +272,12 @@ SQL = {
     "q_keff_per_lap": _LG + ", c AS (SELECT lap, job, sum(loss) AS n FROM lg GROUP BY ALL) SELECT lap, count(*) AS k_trained, count(*) FILTER (WHERE n > 800) AS k_effective FROM c GROUP BY lap",
     "q_nearest_checkpoint": _LG + " SELECT task, lap FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY abs(lap - 17.5), lap) AS k FROM lg WHERE lap % 5 = 0) WHERE k = 1",
     "q_loss_delta": _LG + " SELECT task, lap, loss, round(loss - lag(loss) OVER (PARTITION BY task ORDER BY lap), 6) AS delta FROM lg",
+    "q_misaligned": _NC + ", m AS (SELECT found, label, count(*) AS c FROM nr GROUP BY ALL) SELECT found AS nearest, sum(c)::BIGINT AS n, round((sum(c) - max(c)) / sum(c)::DOUBLE, 6) AS share FROM m GROUP BY found",
+    "q_label_resp": "SELECT vec_id, k, CASE WHEN k = (CASE WHEN label BETWEEN 0 AND 3 THEN label ELSE 4 END) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS r FROM embeddings, range(6) t(k)",
+    "q_subdivided_blocks": _EV + ", z AS (SELECT *, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS z, CASE WHEN pt = 'click' THEN 0 WHEN pt IS NOT NULL THEN 1 END AS pz FROM p), b AS (SELECT *, sum((z IS DISTINCT FROM pz)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM z) SELECT event_id, z * 2 + ntile(2) OVER (PARTITION BY user_id, b ORDER BY ts, event_id) - 1 AS sub FROM b",
+    "q_word_matrix": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) SELECT doc_id, " + ", ".join(f"count(*) FILTER (WHERE word = '{w}')::DOUBLE AS {w}" for w in ("the", "this", "our", "die")) + " FROM w WHERE word IN ('the', 'this', 'our', 'die') GROUP BY doc_id",
+    "q_move_budget": _K + ", t AS (SELECT k, n, row_number() OVER (ORDER BY n DESC, k) AS tier FROM c) SELECT k, n, tier FROM (SELECT *, sum(n) OVER (ORDER BY tier) AS run FROM t) WHERE run <= 5000",
+    "q_fill_subset": "SELECT event_id, CASE WHEN value > 50 THEN -value ELSE value END AS value FROM events",
     "q_confusion": _NC + " SELECT label, found AS nearest, count(*) AS n FROM nr GROUP BY ALL",
     "q_hamming": _NC + " SELECT count(*) AS n, round(avg((label IS DISTINCT FROM found)::INT), 6) AS distance FROM nr WHERE label >= 0",
     "q_auc_ranksum": "WITH r AS (SELECT event_type = 'purchase' AS pos, avg(i) OVER (PARTITION BY value) AS mid FROM (SELECT *, row_number() OVER (ORDER BY value) AS i FROM events)), t AS (SELECT count(*) FILTER (WHERE pos) AS n_pos, count(*) FILTER (WHERE NOT pos) AS n_neg, sum(mid) FILTER (WHERE pos) AS s FROM r) SELECT n_pos, n_neg, round((s - n_pos * (n_pos + 1) / 2) / (n_pos * n_neg), 6) AS auc FROM t",
