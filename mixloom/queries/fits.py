@@ -17,6 +17,7 @@ from mixloom.models.topics import GroupTopicModel, TopicModel, documents_as_rows
 from mixloom.operators import datasets as D
 from mixloom.operators import graph as G
 from mixloom.plans import fit as P
+from mixloom.plans.grow import fit_grow
 from mixloom.queries.structure import _edges
 from mixloom.sources.readers import fill_missing
 from mixloom.session import bounded_rows, checkpoint_dir, cut, table
@@ -151,6 +152,22 @@ def q_ar_hmm_fit(spark, d):
     return _trace(spark, fit_hmm(_sequences(spark, d, True), HMM(AutoRegGauss(12, cov=4.0)), 4, laps=4))
 
 
+def _moves(spark, result):
+    rows = [(int(m["lap"]), m["move"], m["accepted"], ",".join(map(str, m["uids"]))) for m in result.moves]
+    return spark.createDataFrame(rows, "lap int, move string, accepted boolean, uids string")
+
+
+def q_topic_moves(spark, d):
+    docs, v = _bag_rows(spark, d)
+    model = TopicModel(v, hdp=True)
+    return _moves(spark, fit_grow(docs, model, fit_topics(docs, model, 4, laps=2), laps=2))
+
+
+def q_hmm_moves(spark, d):
+    seqs, model = _sequences(spark, d), HMM(DiagGauss(12, var=4.0), hdp=True)
+    return _moves(spark, fit_grow(seqs, model, fit_hmm(seqs, model, 4, laps=2), laps=2))
+
+
 def q_viterbi(spark, d):
     seqs, model = _sequences(spark, d), HMM(DiagGauss(12, var=4.0), kappa=1.0)
     return decode(seqs, model, fit_hmm(seqs, model, 5, laps=3).params)

@@ -172,3 +172,22 @@ def test_block_models(spark, kw):
     edges = spark.createDataFrame(toys.blocks(14, 2), "src bigint, dst bigint, x double")
     nodes, params, losses = fit_blocks(edges, BlockModel(**kw), 2, laps=4)
     assert falls(losses) and nodes.count() == 14
+
+
+@pytest.mark.parametrize("kind", ["topics", "states"])
+@pytest.mark.parametrize("hdp", [False, True])
+def test_moves_of_topics_and_states(spark, kind, hdp):
+    from mixloom.plans.grow import Grow, fit_grow
+
+    if kind == "topics":
+        bag = spark.createDataFrame(toys.bars(40, side=4, words=30), "doc_id bigint, word_id int, word_count double")
+        rows, model = T.documents_as_rows(bag).cache(), T.TopicModel(16, hdp=hdp)
+        first = T.fit_topics(rows, model, 3, laps=2)
+    else:
+        df = spark.createDataFrame([(a, b, c) for a, b, c, _ in toys.sequences(6, 3, 2, 15)], "g bigint, pos int, x array<double>")
+        rows, model = H.sequences_as_rows(df, "g", ["pos"], "x").cache(), H.HMM(L.DiagGauss(2, var=1.0), hdp=hdp)
+        first = H.fit_hmm(rows, model, 2, laps=2)
+    r = fit_grow(rows, model, first, laps=3, moves=Grow(merge=2))
+    assert falls(r.losses) and {m["move"] for m in r.moves} >= {"birth", "delete", "merge"}
+    assert len(r.uids) == len(set(r.uids)) == len(r.stats["N"]) == r.trace[-1]["k"]
+    assert r.losses[-1] <= first.losses[-1] + 1e-6
