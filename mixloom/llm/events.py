@@ -41,15 +41,19 @@ def proper_names(df: DataFrame, name: str, dictionary: DataFrame, dictionary_nam
     lookup = spark.createDataFrame(sorted(proper.items()) or [("", "")], "_bare string, _proper string")
     slip = F.lit(None).cast("string")
     if proper:
-        entries = F.array(*[F.struct(F.lit(b).alias("bare"), F.lit(n).alias("name")) for b, n in sorted(proper.items())])
+        entry = lambda b: F.struct(F.lit(b).alias("bare"), F.lit(proper[b]).alias("name"))
+        lengths = sorted({len(b) + d for b in proper for d in (-1, 0, 1)})
+        # a slip changes the length by one at most, so a spelling meets only entries of about its length
+        by_length = F.create_map(*[x for n in lengths for x in (F.lit(n), F.array(*[entry(b) for b in sorted(proper) if abs(len(b) - n) <= 1]))])
 
         def near(e: Column) -> Column:
             same_length = F.length(e["bare"]) == F.length("_bare")
             close = F.levenshtein(F.col("_bare"), e["bare"], 1) >= 0
-            return (F.abs(F.length(e["bare"]) - F.length("_bare")) <= 1) & (close | (same_length & (F.length("_bare") > 1) & _swapped(F.col("_bare"), e["bare"])))
+            return close | (same_length & (F.length("_bare") > 1) & _swapped(F.col("_bare"), e["bare"]))
 
-        fits = F.filter(entries, near)
-        slip = F.when(F.size(fits) == 1, fits[0]["name"])
+        fits = F.filter(by_length[F.length("_bare")], near)
+        # bound by the lambda, so that the entries are compared once
+        slip = F.get(F.transform(F.array(fits), lambda f: F.when(F.size(f) == 1, F.get(f, F.lit(0))["name"])), F.lit(0))
     out = df.withColumn("_bare", bare(F.col(name))).join(F.broadcast(lookup), "_bare", "left")
     action = F.when(F.col("_bare") != "", F.coalesce(F.col("_proper"), slip, F.concat(F.lit("("), F.col("_bare"), F.lit(")"))))
     return out.withColumn("action", action).drop("_bare", "_proper")
