@@ -71,6 +71,22 @@ def filled(df: DataFrame, part: DataFrame, key: str, value: str) -> DataFrame:
     return df.join(new, key, "left").withColumn(value, F.coalesce("_new", value)).drop("_new")
 
 
+def token_resp(bag: DataFrame, doc_resp: DataFrame) -> DataFrame:
+    """(doc_id, word, k, r): each token takes its document's responsibilities (doc_id, k, r)."""
+    return bag.select("doc_id", "word").join(doc_resp, "doc_id")
+
+
+def doc_resp(tokens: DataFrame) -> DataFrame:
+    """(doc_id, k, r): the unweighted mean over a document's tokens of (doc_id, word, k, r)."""
+    n = tokens.select("doc_id", "word").distinct().groupBy("doc_id").agg(F.count("*").alias("_n"))
+    return tokens.groupBy("doc_id", "k").agg(F.sum("r").alias("_s")).join(n, "doc_id").select("doc_id", "k", (F.col("_s") / F.col("_n")).alias("r"))
+
+
+def word_resp(tokens: DataFrame) -> DataFrame:
+    """(word, k, r): the mean over the documents that hold a word; words of no document have no row."""
+    return tokens.groupBy("word", "k").agg(F.avg("r").alias("r"))
+
+
 def doc_word_matrix(bag: DataFrame, words: list[str], *, binary: bool = False) -> DataFrame:
     """Documents by the given words, for a handful of words; documents with none of them have no row."""
     value = F.lit(1.0) if binary else F.sum("word_count")

@@ -221,6 +221,27 @@ def q_word_matrix(spark, d):
     return T.doc_word_matrix(bow.count_words(table(spark, d, "documents")), ["the", "this", "our", "die"])
 
 
+def _token_resp(spark, d):
+    """Soft assignments of words by their first letter: a share of 0.75 for its class, 0.25 for the next."""
+    from mixloom.operators import bow
+
+    bag = bow.count_words(table(spark, d, "documents"))
+    k = (F.ascii("word") % 3).cast("int")
+    pairs = F.array(F.struct(k.alias("k"), F.lit(0.75).alias("r")), F.struct(((k + 1) % 3).alias("k"), F.lit(0.25).alias("r")))
+    return bag.select("doc_id", "word", F.inline(pairs))
+
+
+def q_doc_resp(spark, d):
+    return T.doc_resp(_token_resp(spark, d)).select("doc_id", "k", F.round("r", 6).alias("r"))
+
+
+def q_word_resp(spark, d):
+    from mixloom.operators import bow
+
+    back = T.token_resp(bow.count_words(table(spark, d, "documents")), T.doc_resp(_token_resp(spark, d)))
+    return T.word_resp(back).select("word", "k", F.round("r", 6).alias("r"))
+
+
 def q_move_budget(spark, d):
     c = _comps(spark, d)
     w = Window.orderBy(F.desc("n"), "k")
@@ -238,6 +259,7 @@ _ED = f"WITH u AS (SELECT src, dst, count(*) AS n FROM (SELECT o_custkey AS src,
 _K = "WITH c AS (SELECT o_custkey % 25 AS k, count(*) AS n FROM orders GROUP BY 1), l AS (SELECT *, coalesce(sum(n) OVER (ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)::BIGINT AS n_later FROM c)"
 _LG = "WITH lg AS (SELECT user_id % 7 AS job, user_id AS task, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS lap, value AS loss FROM events), fin AS (SELECT job, task, arg_max(loss, lap) AS loss FROM lg GROUP BY job, task)"
 _NC = "WITH l AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings), c AS (SELECT label, dim, avg(v) AS m FROM l WHERE label IS NOT NULL GROUP BY label, dim), dd AS (SELECT l.vec_id, any_value(l.label) AS label, c.label AS found, sum((v - m) * (v - m)) AS dist FROM l JOIN c ON c.dim = l.dim GROUP BY l.vec_id, c.label), nr AS (SELECT vec_id, label, found FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, found) AS k FROM dd) WHERE k = 1)"
+_TR = "WITH b AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), t AS (SELECT doc_id, word, ascii(word) % 3 AS k, 0.75::DOUBLE AS r FROM b UNION ALL SELECT doc_id, word, (ascii(word) % 3 + 1) % 3, 0.25::DOUBLE FROM b), dr AS (SELECT t.doc_id, t.k, sum(t.r) / any_value(n.n) AS r FROM t JOIN (SELECT doc_id, count(*) AS n FROM b GROUP BY doc_id) n USING (doc_id) GROUP BY t.doc_id, t.k)"
 _HEX = "(('0x' || md5({0} || '|{1}')[1:8])::BIGINT)"
 
 SQL = {
@@ -276,6 +298,8 @@ SQL = {
     "q_label_resp": "SELECT vec_id, k, CASE WHEN k = (CASE WHEN label BETWEEN 0 AND 3 THEN label ELSE 4 END) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS r FROM embeddings, range(6) t(k)",
     "q_subdivided_blocks": _EV + ", z AS (SELECT *, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS z, CASE WHEN pt = 'click' THEN 0 WHEN pt IS NOT NULL THEN 1 END AS pz FROM p), b AS (SELECT *, sum((z IS DISTINCT FROM pz)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM z) SELECT event_id, z * 2 + ntile(2) OVER (PARTITION BY user_id, b ORDER BY ts, event_id) - 1 AS sub FROM b",
     "q_word_matrix": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) SELECT doc_id, " + ", ".join(f"count(*) FILTER (WHERE word = '{w}')::DOUBLE AS {w}" for w in ("the", "this", "our", "die")) + " FROM w WHERE word IN ('the', 'this', 'our', 'die') GROUP BY doc_id",
+    "q_doc_resp": _TR + " SELECT doc_id, k, round(r, 6) AS r FROM dr",
+    "q_word_resp": _TR + " SELECT b.word, dr.k, round(avg(dr.r), 6) AS r FROM b JOIN dr USING (doc_id) GROUP BY ALL",
     "q_move_budget": _K + ", t AS (SELECT k, n, row_number() OVER (ORDER BY n DESC, k) AS tier FROM c) SELECT k, n, tier FROM (SELECT *, sum(n) OVER (ORDER BY tier) AS run FROM t) WHERE run <= 5000",
     "q_fill_subset": "SELECT event_id, CASE WHEN value > 50 THEN -value ELSE value END AS value FROM events",
     "q_confusion": _NC + " SELECT label, found AS nearest, count(*) AS n FROM nr GROUP BY ALL",
