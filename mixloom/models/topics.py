@@ -116,7 +116,7 @@ class TopicModel:
                         continue
                     ids, counts = np.asarray(ids), np.asarray(counts, float)
                     count, resp = model.local(ids, counts, elog, prior)
-                    np.add.at(out["WordCounts"].T, ids, counts[:, None] * resp)
+                    out["WordCounts"][:, ids] += (counts[:, None] * resp).T  # a document's ids are distinct
                     safe = np.where(resp > 1e-300, resp, 1.0)
                     out["entropy"] += -(counts @ (resp * np.log(safe)))
                     theta = prior.copy()

@@ -20,12 +20,12 @@ from mixloom.plans import fit as P
 from mixloom.plans.grow import fit_grow
 from mixloom.queries.structure import _edges
 from mixloom.sources.readers import fill_missing
-from mixloom.session import bounded_rows, checkpoint_dir, cut, table
+from mixloom.session import bounded_rows, checkpoint_dir, spread, table
 
 
 def _vectors(spark, d, batches=4):
     e = table(spark, d, "embeddings").where("embedding IS NOT NULL").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    return cut(D.with_batches(e, "vec_id", batches))
+    return spread(D.with_batches(e, "vec_id", batches), "vec_id")
 
 
 def _trace(spark, result):
@@ -80,7 +80,7 @@ def q_mixture_assign(spark, d):
 def q_regress_fit(spark, d):
     li = table(spark, d, "lineitem").select(F.xxhash64("l_orderkey", "l_linenumber").alias("id"), F.array((F.col("l_quantity") - 25) / 15, (F.col("l_discount") - 0.05) * 30).alias("x"), (F.col("l_extendedprice") / 5e4 - 1).alias("y"))
     model = Mixture(DPMixture(), Joint(x=DiagGauss(2), y=GaussRegress(2)))
-    return _trace(spark, P.fit_vb(cut(li), "id", model, 4, laps=4))
+    return _trace(spark, P.fit_vb(spread(li, "id"), "id", model, 4, laps=4))
 
 
 def _bag_rows(spark, d):
@@ -88,7 +88,7 @@ def _bag_rows(spark, d):
     b = b.join(table(spark, d, "vocab").select("word_id").distinct(), "word_id", "left_semi")
     v = table(spark, d, "vocab").agg(F.max("word_id")).first()[0] + 1
     bag = b.groupBy("doc_id", "word_id").agg(F.sum("word_count").alias("word_count"))
-    return cut(D.with_batches(documents_as_rows(bag), "doc_id", 3)), v
+    return spread(D.with_batches(documents_as_rows(bag), "doc_id", 3), "doc_id"), v
 
 
 def q_mult_mixture_fit(spark, d):
@@ -137,7 +137,7 @@ def q_heldout_topics(spark, d):
 def _sequences(spark, d, history=False):
     b = table(spark, d, "blocks_per_seq").where("seq_id IS NOT NULL AND pos IS NOT NULL AND x IS NOT NULL")
     one = b.groupBy("seq_id", "pos").agg(F.max_by("x", "received_at").alias("x"))
-    return cut(D.with_batches(sequences_as_rows(fill_missing(one, "x"), "seq_id", ["pos"], "x", history=history), "seq_id", 3))
+    return spread(D.with_batches(sequences_as_rows(fill_missing(one, "x"), "seq_id", ["pos"], "x", history=history), "seq_id", 3), "seq_id")
 
 
 def q_hmm_fit(spark, d):
@@ -187,7 +187,7 @@ def q_hungarian(spark, d):
 
 def _graph(spark, d):
     e = G.unique_edges(_edges(spark, d))
-    return cut(e.select("src", "dst", (F.col("n") > 1).cast("double").alias("x")))
+    return spread(e.select("src", "dst", (F.col("n") > 1).cast("double").alias("x")), "src", "dst")
 
 
 def _block_query(**kw):

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +40,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Materialises ``df`` in at least as many partitions as there are cores, for fits that pass over
+    it again and again: rows that are few in bytes can still be much work."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return cut(df.repartition(n, *keys) if df.rdd.getNumPartitions() < n else df)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per session, so that their Python can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_mixloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="mixloom-package-"))
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    with zipfile.ZipFile(at / "mixloom.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, Path("mixloom") / f.relative_to(root))
+    sc.addPyFile(str(at / "mixloom.zip"))
+    sc._mixloom_shipped = True
+
+
 def bounded_rows(df: DataFrame, most: int, what: str) -> list:
     """Brings at most ``most`` rows to the driver; more than that is an error, never a cut."""
     rows = df.limit(most + 1).collect()

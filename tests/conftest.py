@@ -16,5 +16,8 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from mixloom.session import ship
+
+    ship(s)
     yield s
     s.stop()
