@@ -138,21 +138,25 @@ class TermCounts:
             return
         manifest = self._manifest() or {"parts": self.parts, "pairs": {}, "terms": {}, "version": 0}
         version = manifest["version"] + 1
-        before = self.pairs(touched).select("part", "doc_id", "term", "n", "total", F.lit(0).alias("d_n"), F.lit(0.0).alias("d_total"))
-        change = delta.select("part", "doc_id", "term", F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("total"), F.col("n").alias("d_n"), F.col("total").alias("d_total"))
-        merged = before.unionByName(change).groupBy("part", "doc_id", "term").agg(*[F.sum(c).alias(c) for c in ("n", "total", "d_n", "d_total")])
-        pairs_at = posixpath.join(self.folder, f"pairs/v{version}")
-        after = F.col("n") + F.col("d_n")
-        merged.where(after > 0).select("part", "doc_id", "term", after.alias("n"), (F.col("total") + F.col("d_total")).alias("total")).withColumn("p", F.col("part")).write.partitionBy("p").parquet(pairs_at)
-        docs = (after > 0).cast("int") - (F.col("n") > 0).cast("int")
-        docs = F.when(F.col("doc_id").isNull(), 0).otherwise(docs)
-        steps = merged.where("d_n <> 0 OR d_total <> 0").groupBy("part", "term").agg(F.sum("d_total").alias("total"), F.sum(docs).alias("n_docs"), F.sum("d_n").alias("n"))
-        old = self.terms(touched).select("part", "term", "total", "n_docs")
-        terms = old.unionByName(steps.select("part", "term", "total", "n_docs")).groupBy("part", "term").agg(F.sum("total").alias("total"), F.sum("n_docs").alias("n_docs"))
-        # a term is left without entries exactly if none of its pairs stays
-        kept = self._paths_df(pairs_at, touched).select("term").distinct()
-        terms_at = posixpath.join(self.folder, f"terms/v{version}")
-        terms.join(kept, "term", "left_semi").select("part", "term", "total", F.col("n_docs").cast("bigint")).withColumn("p", F.col("part")).write.partitionBy("p").parquet(terms_at)
+        pairs_at, terms_at = (posixpath.join(self.folder, f"{what}/v{version}") for what in ("pairs", "terms"))
+        in_doc = lambda n: (F.col("doc_id").isNotNull() & (n > 0)).cast("int")
+        if not any(str(p) in manifest["pairs"] for p in touched):
+            # nothing is there yet: the delta is the new state
+            delta.where("n > 0").select("part", "doc_id", "term", "n", "total").withColumn("p", F.col("part")).write.partitionBy("p").parquet(pairs_at)
+            terms = delta.groupBy("part", "term").agg(F.sum("total").alias("total"), F.sum(in_doc(F.col("n"))).alias("n_docs"), F.max("n").alias("n")).where("n > 0")
+        else:
+            before = self.pairs(touched).select("part", "doc_id", "term", "n", "total", F.lit(0).alias("d_n"), F.lit(0.0).alias("d_total"))
+            change = delta.select("part", "doc_id", "term", F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("total"), F.col("n").alias("d_n"), F.col("total").alias("d_total"))
+            merged = before.unionByName(change).groupBy("part", "doc_id", "term").agg(*[F.sum(c).alias(c) for c in ("n", "total", "d_n", "d_total")])
+            after = F.col("n") + F.col("d_n")
+            merged.where(after > 0).select("part", "doc_id", "term", after.alias("n"), (F.col("total") + F.col("d_total")).alias("total")).withColumn("p", F.col("part")).write.partitionBy("p").parquet(pairs_at)
+            steps = merged.where("d_n <> 0 OR d_total <> 0").groupBy("part", "term").agg(F.sum("d_total").alias("total"), F.sum(in_doc(after) - in_doc(F.col("n"))).alias("n_docs"))
+            old = self.terms(touched).select("part", "term", "total", "n_docs")
+            terms = old.unionByName(steps).groupBy("part", "term").agg(F.sum("total").alias("total"), F.sum("n_docs").alias("n_docs"))
+            # a term is left without entries exactly if none of its pairs stays
+            kept = self._paths_df(pairs_at, touched).select("term").distinct()
+            terms = terms.join(kept, "term", "left_semi")
+        terms.select("part", "term", "total", F.col("n_docs").cast("bigint")).withColumn("p", F.col("part")).write.partitionBy("p").parquet(terms_at)
         for what, at in (("pairs", pairs_at), ("terms", terms_at)):
             for p in touched:
                 here = posixpath.join(at, f"p={p}")
