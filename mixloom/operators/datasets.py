@@ -42,6 +42,20 @@ def with_batches(df: DataFrame, key: str, n_batches: int, seed: int = 0) -> Data
     return df.withColumn("batch_id", (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % n_batches).cast("int"))
 
 
+def stored_batches(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Writes a dataset with ``batch_id`` as one folder per batch and reads it back, so that a pass over
+    one batch opens that batch's files only. The folder defaults to a new one in the shared
+    checkpoint folder."""
+    import posixpath
+    import uuid
+
+    from mixloom.session import checkpoint_dir
+
+    at = folder or posixpath.join(checkpoint_dir(df.sparkSession), f"batches-{uuid.uuid4().hex}")
+    df.write.partitionBy("batch_id").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def batch_sizes(df: DataFrame) -> DataFrame:
     """(n_batches, total, median) of the rows per batch."""
     return df.groupBy("batch_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("n_batches"), F.sum("n").alias("total"), F.percentile("n", F.lit(0.5)).alias("median"))

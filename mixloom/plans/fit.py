@@ -328,7 +328,8 @@ def fit_memovb(df: DataFrame, key: str, model: Mixture, k: int, *, n_batches: in
     """Memoized VB over fixed batches (``df.batch_id``), with optional moves after each lap.
 
     A batch is scored under the current parameters, its old block replaced, and the global step
-    taken on the exact total. Moves are judged by the objective of the whole; the loss never
+    taken on the exact total. Store large data by batch (``datasets.stored_batches``), so that a
+    pass over a batch reads no other. Moves are judged by the objective of the whole; the loss never
     rises but for the entropy bound of unpaired merges, which are not proposed.
     """
     stats = stats or init_stats(df, key, model, k, seed=seed, how=how)

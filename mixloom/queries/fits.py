@@ -59,11 +59,11 @@ def q_bern_fit(spark, d):
 
 
 def q_sovb_fit(spark, d):
-    return _trace(spark, P.fit_sovb(_vectors(spark, d), "vec_id", _dp(), 6, n_batches=4, laps=2))
+    return _trace(spark, P.fit_sovb(D.stored_batches(_vectors(spark, d)), "vec_id", _dp(), 6, n_batches=4, laps=2))
 
 
 def q_memovb_fit(spark, d):
-    return _trace(spark, P.fit_memovb(_vectors(spark, d), "vec_id", _dp(), 6, n_batches=4, laps=3))
+    return _trace(spark, P.fit_memovb(D.stored_batches(_vectors(spark, d)), "vec_id", _dp(), 6, n_batches=4, laps=3))
 
 
 def q_memovb_moves(spark, d):

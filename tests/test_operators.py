@@ -44,7 +44,7 @@ def test_graph_rules(spark):
     with pytest.raises(ValueError):
         graph.clean_edges(twice)
     assert graph.clean_edges(twice.distinct()).count() == 1
-    adj = spark.createDataFrame([(0, [0.0, 1, 1]), (1, [0.0, 0, 1]), (2, [1.0, 0, 0])], "src bigint, values array<double>")
+    adj = spark.createDataFrame([(0, [0.0, 1.0, 1.0]), (1, [0.0, 0.0, 1.0]), (2, [1.0, 0.0, 0.0])], "src bigint, values array<double>")
     assert graph.adjacency_to_edges(adj).count() == 6
     assert graph.dense_edges(spark.range(3).withColumnRenamed("id", "node")).count() == 6
 
@@ -90,3 +90,13 @@ def test_dirichlet_cumulant_counts_absent_words(spark):
     got = bow.dirichlet_cumulants(counts, "topic", 0.5, F.lit(4)).first().cumulant
     want = math.lgamma(6.0) - math.lgamma(3.5) - math.lgamma(1.5) - 2 * math.lgamma(0.5)
     assert got == pytest.approx(want) and np.isfinite(got)
+
+
+def test_stored_batches_prune(spark, tmp_path):
+    df = datasets.with_batches(spark.range(60).withColumnRenamed("id", "k"), "k", 3)
+    back = datasets.stored_batches(df, str(tmp_path / "b"))
+    assert back.count() == 60 and sorted(back.columns) == ["batch_id", "k"]
+    one = back.where("batch_id = 1")
+    assert one.count() == df.where("batch_id = 1").count()
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(batch_id" in plan
