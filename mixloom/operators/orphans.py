@@ -117,9 +117,9 @@ def lifetimes(parents: DataFrame, key: str, arrived: str, deleted: str) -> tuple
         F.when(F.col(arrived).isNull(), _begin()).otherwise(F.coalesce(F.col(deleted), _forever())).alias("until"),
     ).where(F.col("key").isNotNull())
     rows = rows.groupBy("key", "since").agg(F.max("until").alias("until"))
-    keys = rows.groupBy("key").agg(F.min("since").alias("first_arrival"))
+    keys = cut(rows.groupBy("key").agg(F.min("since").alias("first_arrival")))
     live = rows.where("until > since").withColumn("year", F.year("since"))
-    live = _islands(_islands(live, ["key", "year"]).drop("year"), ["key"])
+    live = cut(_islands(_islands(live, ["key", "year"]).drop("year"), ["key"]))
     per_key = live.groupBy("key").agg(F.min("since").alias("first_live"), F.max("until").alias("last_live"))
     edge = keys.join(per_key, "key", "left")
     before = edge.where(F.col("first_live").isNull() | (F.col("first_live") > F.col("first_arrival"))).select(

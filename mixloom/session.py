@@ -41,10 +41,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Materialises ``df`` in at least as many partitions as there are cores, for fits that pass over
-    it again and again: rows that are few in bytes can still be much work."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return cut(df.repartition(n, *keys) if df.rdd.getNumPartitions() < n else df)
+    """Materialises ``df`` in at least as many partitions as there are cores, for what is
+    much work per row (fits, mining): rows that are few in bytes would else share few tasks."""
+    n, df = df.sparkSession.sparkContext.defaultParallelism, cut(df)  # cut first: counting partitions would run the plan
+    return df if df.rdd.getNumPartitions() >= n else cut(df.repartition(n, *keys))
 
 
 def ship(spark: SparkSession) -> None:
