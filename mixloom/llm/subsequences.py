@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixloom.llm.events import events, is_proper
-from mixloom.session import bounded_rows, cut
+from mixloom.session import bounded_rows, cut, spread
 
 SEPARATOR = ">"
 
@@ -202,7 +202,7 @@ def frequent_subsequences(
     as said at ``events``; other columns are never read.
     """
     longest = max(lengths)
-    lists = cut(action_lists(steps, dictionary, tail=(longest - 1) * (max_between + 1), block=block))
+    lists = spread(action_lists(steps, dictionary, tail=(longest - 1) * (max_between + 1), block=block))
     n = lists.agg(F.count_distinct("seq_id")).first()[0]
     least = max(1, math.ceil(min_share * n - 1e-9))
     allowed, out = None, None
