@@ -16,7 +16,7 @@ from mixloom.functions.optimize import best_sticks, first_sticks, sticks_objecti
 from mixloom.functions.special import digamma, gammaln
 from mixloom.models.likelihoods import Mult
 from mixloom.plans.distributed import summed
-from mixloom.plans.fit import FitResult, batch_order, draw_rows, learning_rate
+from mixloom.plans.fit import Event, FitResult, batch_order, draw_rows, learning_rate
 
 
 def documents_as_rows(bag: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ class TopicModel:
         k, v = params["lam"].shape
 
         def step(records):
-            out = {n: np.zeros(s) for n, s in (("WordCounts", (k, v)), ("entropy", k), ("sumLogPi", len(prior)), ("docBound", 1), ("nDoc", 1), ("tokens", 1), ("usage", k))}
+            out = {n: np.zeros(s) for n, s in (("WordCounts", (k, v)), ("entropy", k), ("sumLogPi", len(prior)), ("docBound", 1), ("nDoc", 1), ("tokens", 1), ("usage", k), ("pairs", (k, k)))}
             for r in records:
                 for ids, counts in zip(r.column("ids").to_pylist(), r.column("counts").to_pylist()):
                     if not ids:
@@ -126,6 +126,7 @@ class TopicModel:
                     out["nDoc"] += 1
                     out["tokens"] += counts.sum()
                     out["usage"] += count > 0.01
+                    out["pairs"] += np.outer(count, count)
             yield out
 
         stats = summed(docs.select("ids", "counts"), step)
@@ -156,6 +157,16 @@ class TopicModel:
         return total + top + n * k * np.log(self.alpha) + float(slack)
 
 
+def topic_correlations(stats: dict) -> np.ndarray:
+    """Correlation over documents of the topics' counts, from the sums of a lap; 0 for constant topics."""
+    n = float(stats["nDoc"][0])
+    mean = stats["N"] / n
+    cov = stats["pairs"] / n - np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(cov), 0))
+    safe = np.where(np.outer(sd, sd) > 1e-12, np.outer(sd, sd), np.inf)
+    return cov / safe
+
+
 def first_topics(docs: DataFrame, model: TopicModel, k: int, seed: int) -> np.ndarray:
     """Word counts of k random documents, smoothed so that no topic is alone with its words."""
     counts = np.full((k, model.obs.vocab), 1e-3)
@@ -164,7 +175,7 @@ def first_topics(docs: DataFrame, model: TopicModel, k: int, seed: int) -> np.nd
     return counts + 0.05 * counts.mean(0)
 
 
-def fit_topics(docs: DataFrame, model: TopicModel, k: int, *, alg: str = "vb", laps: int = 5, n_batches: int = 4, seed: int = 0, tol: float = 0.05) -> FitResult:
+def fit_topics(docs: DataFrame, model: TopicModel, k: int, *, alg: str = "vb", laps: int = 5, n_batches: int = 4, seed: int = 0, tol: float = 0.05, callbacks=()) -> FitResult:
     """``vb``: all documents per lap. ``memovb``: exact totals over fixed batches (``batch_id``).
     ``sovb``: amplified batches with a decaying rate."""
     n_docs = docs.count()
@@ -188,6 +199,8 @@ def fit_topics(docs: DataFrame, model: TopicModel, k: int, *, alg: str = "vb", l
                 params = model.global_step(stats, params)
             if alg != "memovb" or len(blocks) == n_batches or done == n_batches:
                 result.trace.append({"lap": lap - 1 + done / (1 if b is None else n_batches), "loss": float(-model.objective(stats, params) / stats["tokens"][0]), "k": k})
+                for c in callbacks:
+                    c(Event("lap" if b is None else "batch", result.trace[-1]["lap"], result.losses[-1], k, stats, params))
         if before is not None and alg != "sovb" and np.abs(stats["N"] - before).max() < tol:
             result.converged = True
             break
@@ -312,3 +325,18 @@ def heldout_scores(docs: DataFrame, model: TopicModel, params: dict) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
     return docs.select("doc_id", "ids", "counts", "test_ids", "test_counts").mapInArrow(step, "doc_id bigint, n_heldout double, loglik double, auc double, r_precision double, k_active int")
+
+
+def heldout_callback(docs: DataFrame, model: TopicModel, seen: list[dict], *, every: float = 5, early: float = 0):
+    """A callback for ``fit_topics`` that appends held-out means to ``seen`` whenever a checkpoint is due."""
+    from mixloom.plans.fit import should_save
+
+    steps = {"n": 0}
+
+    def on(event: Event) -> None:
+        if should_save(event.lap, steps["n"], every=every, early=early):
+            row = heldout_scores(docs, model, event.params).agg(F.count("*").alias("n_docs"), F.avg("loglik").alias("loglik"), F.avg("auc").alias("auc"), F.avg("r_precision").alias("r_precision")).first()
+            seen.append({"lap": event.lap} | row.asDict())
+        steps["n"] += 1
+
+    return on

@@ -553,3 +553,26 @@ def assign(df: DataFrame, key: str, model: Mixture, params: dict) -> DataFrame:
     return df.select(F.col(key).cast("bigint").alias(key), *cols).mapInArrow(step, f"{key} bigint, component int, log_evidence double")
 
 
+
+
+def predict(df: DataFrame, key: str, model: Mixture, params: dict, part: str = "y") -> DataFrame:
+    """(key, y_hat, by_component) of a mixture with a regression under ``part`` of a joint likelihood:
+    each component's prediction, and their mean weighted by what x alone says of the component."""
+    joint, cols = model.obs, [c for c in batch_columns(df) if c != "y"]
+    reg, rest = joint.parts[part], {n: p for n, p in joint.parts.items() if n != part}
+    post, log_w = joint.post(params["obs"]), model.alloc.log_weights(params["alloc"])
+    own = joint._of(part, post)
+
+    def step(records):
+        import pyarrow as pa
+
+        from mixloom.functions.numeric import exp_normalise
+
+        for r, b in batches_of(records, cols, model):
+            if r.num_rows:
+                scores = np.tile(log_w, (r.num_rows, 1)) + sum((p.score(b, joint._of(n, post)) for n, p in rest.items()), 0.0)
+                each = reg.predict(b, own)
+                mean = (exp_normalise(scores)[0] * each).sum(1)
+                yield pa.RecordBatch.from_pydict({key: r.column(key), "y_hat": pa.array(mean), "by_component": pa.array(each.tolist(), pa.list_(pa.float64()))})
+
+    return df.select(F.col(key).cast("bigint").alias(key), *cols).mapInArrow(step, f"{key} bigint, y_hat double, by_component array<double>")

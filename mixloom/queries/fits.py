@@ -13,7 +13,7 @@ from mixloom.models.hmm import HMM, decode, fit_hmm, sequences_as_rows
 from mixloom.models.likelihoods import AutoRegGauss, Bern, DiagGauss, Gauss, GaussRegress, Joint, ZeroMeanGauss
 from mixloom.models.mixtures import DPMixture, FiniteMixture, Mixture
 from mixloom.models.relational import BlockModel, fit_blocks
-from mixloom.models.topics import GroupTopicModel, TopicModel, documents_as_rows, fit_group_topics, fit_topics, heldout_scores
+from mixloom.models.topics import GroupTopicModel, TopicModel, documents_as_rows, fit_group_topics, fit_topics, heldout_scores, topic_correlations
 from mixloom.operators import datasets as D
 from mixloom.operators import graph as G
 from mixloom.plans import fit as P
@@ -77,10 +77,28 @@ def q_mixture_assign(spark, d):
     return P.assign(e, "vec_id", model, P.fit_vb(e, "vec_id", model, 6, laps=4, how="kmeans").params)
 
 
-def q_regress_fit(spark, d):
+def _regress_rows(spark, d):
     li = table(spark, d, "lineitem").select(F.xxhash64("l_orderkey", "l_linenumber").alias("id"), F.array((F.col("l_quantity") - 25) / 15, (F.col("l_discount") - 0.05) * 30).alias("x"), (F.col("l_extendedprice") / 5e4 - 1).alias("y"))
-    model = Mixture(DPMixture(), Joint(x=DiagGauss(2), y=GaussRegress(2)))
-    return _trace(spark, P.fit_vb(spread(li, "id"), "id", model, 4, laps=4))
+    return spread(li, "id"), Mixture(DPMixture(), Joint(x=DiagGauss(2), y=GaussRegress(2)))
+
+
+def q_regress_fit(spark, d):
+    rows, model = _regress_rows(spark, d)
+    return _trace(spark, P.fit_vb(rows, "id", model, 4, laps=4))
+
+
+def q_regress_predict(spark, d):
+    """Mean squared error of the prediction, next to that of the mean, over all rows."""
+    rows, model = _regress_rows(spark, d)
+    found = P.predict(rows, "id", model, P.fit_vb(rows, "id", model, 4, laps=3).params)
+    both = rows.select("id", "y").join(found.select("id", "y_hat"), "id")
+    return both.agg(F.count("*").alias("n"), F.avg((F.col("y") - F.col("y_hat")) ** 2).alias("mse"), F.var_pop("y").alias("mse_of_mean"))
+
+
+def q_topic_correlations(spark, d):
+    docs, v = _bag_rows(spark, d)
+    c = topic_correlations(fit_topics(docs, TopicModel(v), 5, laps=3).stats)
+    return spark.createDataFrame([(a, b, float(c[a, b])) for a in range(5) for b in range(a + 1, 5)], "topic_a int, topic_b int, correlation double")
 
 
 def _bag_rows(spark, d):

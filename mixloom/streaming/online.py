@@ -41,6 +41,31 @@ class OnlineFit:
         return stream.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+class OnlineTopics:
+    """Stochastic VB of a topic model as a foreachBatch sink over documents as rows (ids, counts)."""
+
+    def __init__(self, model, params: dict, *, n_total: float | None = None, delay: float = 1.0, power: float = 0.5):
+        self.model, self.params, self.n_total, self.delay, self.power = model, params, n_total, delay, power
+        self.seen, self.step, self.last, self.trace = 0.0, 0, -1, []
+
+    def __call__(self, df: DataFrame, epoch: int) -> None:
+        if epoch <= self.last:
+            return
+        self.last = epoch
+        part = self.model.lap(df, self.params)
+        if part is None or part["nDoc"][0] == 0:
+            return
+        n = float(part["nDoc"][0])
+        self.seen += n
+        whole = {k: v * ((self.n_total or self.seen) / n) for k, v in part.items()}
+        new, rate = self.model.global_step(whole, self.params), learning_rate(self.step, delay=self.delay, power=self.power)
+        self.params = {k: (1 - rate) * self.params[k] + rate * new[k] for k in new}
+        self.step += 1
+        self.trace.append({"epoch": epoch, "docs": n, "loss": float(-self.model.objective(whole, self.params) / whole["tokens"][0])})
+
+    start = OnlineFit.start
+
+
 def running_stats(stream: DataFrame, state: str, value: str) -> DataFrame:
     """A streaming aggregate (state, n, sx, sxx), for complete or update mode."""
     v = F.col(value).cast("double")

@@ -112,3 +112,17 @@ def test_streaming_aggregates(spark, tmp_path):
     q.awaitTermination()
     assert spark.sql("SELECT sum(n) FROM rs").first()[0] == 20
     assert windowed_stats(rows, "t", "s", "v").agg(F.sum("n")).first()[0] == 20
+
+
+def test_topics_from_a_stream(spark, tmp_path):
+    from mixloom.models import topics as T
+    from mixloom.streaming.online import OnlineTopics
+
+    bag = spark.createDataFrame(toys.bars(30, side=4, words=20), "doc_id bigint, word_id int, word_count double")
+    docs = T.documents_as_rows(bag)
+    docs.repartition(3).write.parquet(str(tmp_path / "in"))
+    model = T.TopicModel(16, hdp=True)
+    fit = OnlineTopics(model, model.start(T.first_topics(docs, model, 4, 0), 30), n_total=30)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    fit.start(stream, str(tmp_path / "cp")).awaitTermination()
+    assert sum(t["docs"] for t in fit.trace) == 30 and fit.params["lam"].shape == (4, 16)

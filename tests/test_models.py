@@ -191,3 +191,24 @@ def test_moves_of_topics_and_states(spark, kind, hdp):
     assert falls(r.losses) and {m["move"] for m in r.moves} >= {"birth", "delete", "merge"}
     assert len(r.uids) == len(set(r.uids)) == len(r.stats["N"]) == r.trace[-1]["k"]
     assert r.losses[-1] <= first.losses[-1] + 1e-6
+
+
+def test_heldout_callback_and_correlations(spark):
+    bag = spark.createDataFrame(toys.bars(30, side=4, words=30, mixed=True), "doc_id bigint, word_id int, word_count double")
+    docs, model, seen = T.documents_as_rows(bag).cache(), T.TopicModel(16), []
+    held = docs.select("doc_id", "ids", "counts", F.col("ids").alias("test_ids"), F.col("counts").alias("test_counts"))
+    r = T.fit_topics(docs, model, 3, laps=3, tol=0, callbacks=[T.heldout_callback(held, model, seen)])
+    assert [s["lap"] for s in seen] == [1, 2, 3] and all(s["n_docs"] == 30 for s in seen)
+    c = T.topic_correlations(r.stats)
+    assert np.allclose(np.diag(c), 1) and np.abs(c).max() <= 1 + 1e-9
+
+
+def test_predictions_follow_the_regression(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200, 2))
+    y = 2 * x[:, 0] - x[:, 1] + 3
+    df = spark.createDataFrame([(i, a.tolist(), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id bigint, x array<double>, y double")
+    model = Mixture(DPMixture(), L.Joint(x=L.DiagGauss(2), y=L.GaussRegress(2)))
+    fit = P.fit_vb(df, "id", model, 2, laps=4)
+    out = {r.id: (r.y_hat, r.by_component) for r in P.predict(df, "id", model, fit.params).collect()}
+    assert max(abs(out[i][0] - y[i]) for i in range(200)) < 0.05 and len(out[0][1]) == 2
