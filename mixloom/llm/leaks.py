@@ -1,8 +1,8 @@
-"""Test passages that stand in training texts: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Test passages that stand in training texts: n-gram seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +46,57 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, list[tuple[int, int]]
     return score, pairs[::-1]
 
 
+def align_many(jobs: list[tuple[np.ndarray, np.ndarray]], least: int, cells: int = 4_000_000) -> list[tuple[int, list[tuple[int, int]]]]:
+    """``align`` of each (item, doc), many at a time; the matched places only of scores of at least ``least``.
+
+    Shorter ones are filled up with words that match nothing: cells there stay below the best score."""
+    out: list = [None] * len(jobs)
+    order = sorted(range(len(jobs)), key=lambda x: (len(jobs[x][1]), len(jobs[x][0])))
+    while order:
+        own, n, m = [], 0, 0
+        while order and (not own or (len(own) + 1) * (max(n, len(jobs[order[-1]][0])) + 1) * (m + 1) <= cells):
+            own.append(order.pop())
+            n, m = max(n, len(jobs[own[-1]][0])), max(m, len(jobs[own[-1]][1]))
+        kind = np.int16 if 3 * (n + m) < 32_000 and max(int(jobs[x][0].max(initial=0)) for x in own) < 32_000 else np.int32
+        item, doc = np.full((len(own), n), -3, dtype=kind), np.full((len(own), m), -4, dtype=kind)
+        for b, x in enumerate(own):
+            item[b, : len(jobs[x][0])], doc[b, : len(jobs[x][1])] = jobs[x]
+            doc[b, : len(jobs[x][1])][jobs[x][1] > np.iinfo(kind).max] = -1
+        # h[i, b, j] holds the score plus j: a gap along the row then costs nothing
+        slope = np.arange(m + 1, dtype=kind)
+        h = np.empty((n + 1, len(own), m + 1), dtype=kind)
+        h[0], h[:, :, 0] = slope, 0
+        gain, down = np.empty((len(own), m), dtype=kind), np.empty((len(own), m), dtype=kind)
+        for i in range(n):
+            row = h[i + 1, :, 1:]
+            np.multiply(doc == item[:, i, None], kind(3), out=gain)
+            np.add(h[i, :, :-1], gain, out=row)
+            np.subtract(h[i, :, 1:], kind(1), out=down)
+            np.maximum(row, down, out=row)
+            np.maximum(row, slope[1:], out=row)
+            np.maximum.accumulate(row, axis=1, out=row)
+        h -= slope
+        tops = h.max(axis=2)
+        at, value = tops.argmax(axis=0), h.item
+        for b, x in enumerate(own):
+            i = int(at[b])
+            j, score, pairs = int(h[i, b].argmax()), int(tops[i, b]), []
+            if score >= least:
+                left, right, here = jobs[x][0].tolist(), jobs[x][1].tolist(), score
+                while i > 0 and j > 0 and here > 0:
+                    same, before = right[j - 1] == left[i - 1], value(i - 1, b, j - 1)
+                    if here == before + (2 if same else -1):
+                        if same:
+                            pairs.append((i - 1, j - 1))
+                        i, j, here = i - 1, j - 1, before
+                    elif here == value(i - 1, b, j) - 1:
+                        i, here = i - 1, here + 1
+                    else:
+                        j, here = j - 1, value(i, b, j - 1)
+            out[x] = (score, pairs[::-1])
+    return out
+
+
 def pieces_of(pairs: list[tuple[int, int]], max_break: int, least: int) -> list[tuple[int, int, int, int]]:
     """Stretches (item first, item last, doc first, doc last) of an alignment without a break of
     more than ``max_break`` unmatched words, of at least ``least`` item words, mostly matched."""
@@ -86,11 +137,14 @@ def mended(line: list[str], known: set[str]) -> list[str]:
 
 
 class Items:
-    """The test items: words, seeds, and vocabulary."""
+    """The test items: words, seeds, and vocabulary. Items of equal words have one number."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [i for i, _ in items]
-        self.lines = [words(t) for _, t in items]
+        same: dict[tuple, list[int]] = defaultdict(list)
+        for i, t in items:
+            same[tuple(words(t))].append(i)
+        self.ids = list(same.values())
+        self.lines = [list(line) for line in same]
         self.number: dict[str, int] = {}
         for line in self.lines:
             for w in line:
@@ -101,19 +155,18 @@ class Items:
             for at, g in enumerate(grams(line)):
                 self.seeds[g].append((k, at))
         self.seeds = dict(self.seeds)
-        self.seed_list = list(self.seeds)
 
 
-def leaked(items: Items, seeds: dict, line: list[str], *, min_share: float, min_piece: int, max_break: int = 3, block: int = 4096) -> list[tuple[int, float, int]]:
-    """(item number, share of its words, pieces) of the items that ``line`` leaks."""
+def candidates(items: Items, seeds: dict, line: list[str], block: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(item number, place, words there) of the stretches of ``line`` to align with items."""
     if seeds.keys().isdisjoint(grams(line)):
-        return []
+        return
     line = mended(line, items.number.keys())
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for at, g in enumerate(grams(line)):
         for k, i in seeds.get(g, ()):
             hits[k].append((at, i))
-    out, coded = [], None
+    coded = None
     for k, own in hits.items():
         n = len(items.lines[k])
         covered = set()
@@ -131,23 +184,38 @@ def leaked(items: Items, seeds: dict, line: list[str], *, min_share: float, min_
                 stretches[-1][1] = hi
             else:
                 stretches.append([lo, hi])
-        pieces = []
         for lo, hi in stretches:
             for begin in range(lo, hi, block):
-                doc = coded[begin : min(hi, begin + block + 2 * n)].copy()
-                while True:
-                    score, pairs = align(items.coded[k], doc)
-                    if score < min_piece + 2:
-                        break
-                    pieces += [(a, b, c + begin, d + begin) for a, b, c, d in pieces_of(pairs, max_break, min_piece)]
-                    doc[pairs[0][1] : pairs[-1][1] + 1] = -2
-        chain = best_chain(sorted(set(pieces)))
-        share = sum(b - a + 1 for a, b, _, _ in chain) / n
+                yield k, begin, coded[begin : min(hi, begin + block + 2 * n)].copy()
+
+
+def leaked_in(items: Items, seeds: dict, lines: list[list[str]], *, min_share: float, min_piece: int, max_break: int = 3, block: int = 4096) -> list[tuple[int, int, float, int]]:
+    """(line, item number, share of its words, pieces) of the items that the lines leak."""
+    jobs = [(at, *c) for at, line in enumerate(lines) for c in candidates(items, seeds, line, block)]
+    pieces: dict[tuple[int, int], set] = defaultdict(set)
+    while jobs:
+        again = []
+        for job, (score, pairs) in zip(jobs, align_many([(items.coded[k], doc) for _, k, _, doc in jobs], min_piece + 2)):
+            if score >= min_piece + 2:
+                at, k, begin, doc = job
+                pieces[at, k].update((a, b, c + begin, d + begin) for a, b, c, d in pieces_of(pairs, max_break, min_piece))
+                doc[pairs[0][1] : pairs[-1][1] + 1] = -2
+                again.append(job)
+        jobs = again
+    out = []
+    for (at, k), own in pieces.items():
+        chain = best_chain(sorted(own))
+        share = sum(b - a + 1 for a, b, _, _ in chain) / len(items.lines[k])
         if share >= min_share:
-            out.append((k, share, len(chain)))
+            out.append((at, k, share, len(chain)))
     return out
 
 
+def leaked(items: Items, seeds: dict, line: list[str], **rules) -> list[tuple[int, float, int]]:
+    """(item number, share of its words, pieces) of the items that ``line`` leaks."""
+    return [found[1:] for found in leaked_in(items, seeds, [line], **rules)]
+
+
 def eval_leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -160,16 +228,13 @@ def eval_leaks(
     """(doc_id, item_id, share, n_pieces): documents in which at least ``min_share`` of an item's
     words stand in the item's order, in pieces of at least ``min_piece`` words.
 
-    First every document is scanned for the items' word 4-grams (seeds) and the number of
-    documents with each is counted. A seed is too common if several items share it and more
-    than ``common_share`` of all documents hold it (stock sentences, turns of phrase); a seed
-    of one item alone stays, however often it is copied. In a second scan the rest join
-    documents to items; where they cover at least an eighth of an item, Smith-Waterman
-    alignment over words finds the pieces, which may contain single changed, dropped or added
-    words.
+    Every document is scanned for the items' word 4-grams (seeds), common ones too: what is
+    reported of a document does not depend on the others. Where seeds cover at least an eighth
+    of an item, Smith-Waterman alignment over words finds the pieces, which may contain single
+    changed, dropped or added words. Items of equal words are aligned once and reported each.
 
-    The items, at most ``max_items``, and the seed counts, at most one per word of the items,
-    are held by every task; documents are never shuffled.
+    The items, at most ``max_items``, are held by every task; documents are never shuffled.
+    ``common_share`` has no effect: no seed is dropped.
 
     Null texts and texts of fewer than four words leak nothing and hold nothing. Of repeated
     item rows one counts; equal texts under several ids are reported for each. Every document
@@ -180,38 +245,18 @@ def eval_leaks(
     known = Items(sorted((r.item_id, r.text) for r in rows))
     everywhere = spark.sparkContext.broadcast(known)
 
-    def count(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        own, n, found = everywhere.value, 0, Counter()
-        keys = own.seeds.keys()
-        for pdf in batches:
-            for text in pdf["text"]:
-                n += 1
-                if text:
-                    line = words(text)
-                    if not keys.isdisjoint(grams(line)):
-                        found.update(keys & set(grams(mended(line, own.number.keys()))))
-        place = {g: i for i, g in enumerate(own.seed_list)}
-        yield pd.DataFrame({"seed": [-1, *(place[g] for g in found)], "n": [n, *found.values()]})
-
-    held = docs.select("text").mapInPandas(count, "seed int, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
-    frequency = {r["seed"]: r["n"] for r in bounded_rows(held, len(known.seed_list) + 1, "seeds")}
-    most = max(20, common_share * frequency.get(-1, 0))
-    rare = {i for i, g in enumerate(known.seed_list) if frequency.get(i, 0) <= most or len({k for k, _ in known.seeds[g]}) < 2}
-
     def find(batches: Iterator) -> Iterator:
         import pandas as pd
 
         own = everywhere.value
-        seeds = {g: own.seeds[g] for i, g in enumerate(own.seed_list) if i in rare}
         for pdf in batches:
-            out = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                if text:
-                    out += [(doc, own.ids[k], share, n) for k, share, n in leaked(own, seeds, words(text), min_share=min_share, min_piece=min_piece)]
-            if out:
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "share", "n_pieces"])
+            pdf = pdf[pdf["text"].astype(bool)]
+            for at in range(0, len(pdf), 500):
+                docs_here, texts = pdf["doc_id"].iloc[at : at + 500].tolist(), pdf["text"].iloc[at : at + 500]
+                found = leaked_in(own, own.seeds, [words(t) for t in texts], min_share=min_share, min_piece=min_piece)
+                out = [(docs_here[d], i, share, n) for d, k, share, n in found for i in own.ids[k]]
+                if out:
+                    yield pd.DataFrame(out, columns=["doc_id", "item_id", "share", "n_pieces"])
 
     found = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(find, "doc_id bigint, item_id bigint, share double, n_pieces int")
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "n_pieces")).alias("best")).select("doc_id", "item_id", "best.share", "best.n_pieces")

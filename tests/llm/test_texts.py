@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from mixloom.llm.leaks import Items, align, best_chain, eval_leaks, leaked, pieces_of
+from mixloom.llm.leaks import Items, align, align_many, best_chain, eval_leaks, leaked, pieces_of
 from mixloom.llm.plaintext import words
 from mixloom.llm.spam import Counts, Rules, coherent, page_words, spam_pages, spam_share
 
@@ -98,6 +98,20 @@ def test_an_item_copied_everywhere_is_still_found(spark):
     assert eval_leaks(docs, items, common_share=0.01).count() == 60
 
 
+def test_twins_and_shared_passages_copied_everywhere_are_still_found(spark):
+    shared = prose(11, 40)
+    docs = spark.createDataFrame([(i, prose(i + 300, 20) + " " + ITEM + " " + shared, "c", "c") for i in range(60)], DOCS)
+    items = spark.createDataFrame([(1, ITEM, "s", "c"), (2, ITEM, "s", "c"), (3, shared + " " + prose(12, 30), "s", "c"), (4, prose(13, 30) + " " + shared, "s", "c")], ITEMS)
+    got = {(r.doc_id, r.item_id) for r in eval_leaks(docs, items).collect()}
+    assert got == {(d, i) for d in range(60) for i in (1, 2, 3, 4)}
+
+
+def test_alignments_at_once_are_those_one_by_one():
+    rng = np.random.default_rng(1)
+    jobs = [(rng.integers(0, 6, rng.integers(1, 25)), rng.integers(0, 6, rng.integers(1, 30))) for _ in range(60)]
+    assert align_many(jobs, 0, cells=5000) == [align(a, b) for a, b in jobs]
+
+
 def test_long_text_with_a_late_leak():
     known = Items([(1, ITEM)])
     line = words(prose(3, 30_000) + " " + ITEM + " " + prose(4, 500))
