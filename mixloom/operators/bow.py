@@ -6,6 +6,8 @@ operator is a grouped sum, an equi-join or a window over small groups.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,12 +144,115 @@ def unseen_vocabulary(bag: DataFrame) -> DataFrame:
     return bag.groupBy("doc_id").agg(F.count("*").alias("u")).join(F.broadcast(n_vocab)).select("doc_id", (F.col("v") - F.col("u")).alias("n_unseen"))
 
 
-def cooccurrence(bag: DataFrame, min_docs: int) -> DataFrame:
-    """(word_a, word_b, n_docs, product) for word_a < word_b among words in at least ``min_docs``
-    documents: documents with both, and the sum of the products of their counts."""
-    own = bag.join(vocabulary(bag).where(F.col("n_docs") >= min_docs).select("word"), "word", "left_semi")
-    a, b = (own.select("doc_id", F.col("word").alias(f"word_{s}"), F.col("word_count").alias(f"c_{s}")) for s in "ab")
-    return a.join(b, "doc_id").where("word_a < word_b").groupBy("word_a", "word_b").agg(F.count("*").alias("n_docs"), F.sum(F.col("c_a") * F.col("c_b")).alias("product"))
+def _packed(blocks: int):
+    """For mapInArrow: documents as lists of words and counts, packed once a batch and sent to every block."""
+
+    def run(batches):
+        import zlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            entries = b.column("entries")
+            size, flat = np.diff(entries.offsets.to_numpy()), entries.flatten()
+            coded = flat.field(0).dictionary_encode()
+            words = np.array(coded.dictionary.to_pylist(), dtype=object)
+            order = np.argsort(words)
+            rank = np.empty(len(words), dtype=np.int64)
+            rank[order] = np.arange(len(words))
+            at, counts = rank[coded.indices.to_numpy()], flat.field(1).to_numpy().astype(np.int64)
+            by = np.lexsort((at, np.repeat(np.arange(len(size)), size)))  # ascending words in each document
+            packed = zlib.compress(np.concatenate(([len(size)], size, np.diff(at[by], prepend=0), counts[by])).astype(np.int32).tobytes())
+            yield pa.record_batch({
+                "block": pa.array(range(blocks), pa.int32()), "packed": pa.array([packed] * blocks, pa.binary()),
+                "words": pa.array([" ".join(words[order])] * blocks, pa.string()),
+            })
+
+    return run
+
+
+def _summed(key, n, product):
+    """Equal keys added up, in ascending order."""
+    import numpy as np
+
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], np.add.reduceat(n[order], first), np.add.reduceat(product[order], first)
+
+
+def _pair_sums(blocks: int, at_once: int = 4_000_000):
+    """For mapInArrow: (word_a, word_b, n_docs, product) of the pairs with word_a in the partition's block."""
+
+    def chunk(ids, counts, ends, mine):
+        """Sums of the pairs of each entry of ``mine`` with the entries after it in its document."""
+        import numpy as np
+
+        many = ends[mine] - mine - 1
+        b = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(mine + 1, many)
+        key, product = np.repeat(ids[mine] << 31, many) | ids[b], np.repeat(counts[mine], many) * counts[b]
+        if len(key) and int(ids.max()) < 1 << 22 and int(product.max()) < 1 << 20:  # one sort of whole numbers is much faster
+            both = np.sort((key >> 31).astype(np.uint64) << np.uint64(42) | ids[b].astype(np.uint64) << np.uint64(20) | product.astype(np.uint64))
+            pair, product = both >> np.uint64(20), (both & np.uint64((1 << 20) - 1)).astype(np.float64)
+            first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+            top = pair[first].astype(np.int64)
+            return (top >> 22) << 31 | top & ((1 << 22) - 1), np.diff(first, append=len(pair)), np.add.reduceat(product, first)
+        return _summed(key, np.ones(len(key), np.int64), product.astype(np.float64)) if len(key) else None
+
+    def run(batches):
+        import zlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        number: dict[str, int] = {}
+        sums: dict[int, list] = {}  # by block, partial sums of falling size
+        for batch in batches:
+            for block, packed, words in zip(batch.column("block").to_pylist(), batch.column("packed"), batch.column("words").to_pylist()):
+                x = np.frombuffer(zlib.decompress(packed.as_py()), np.int32).astype(np.int64)
+                size, rest = x[1 : x[0] + 1], x[x[0] + 1 :]
+                words, at, counts = words.split(), np.cumsum(rest[: len(rest) // 2]), rest[len(rest) // 2 :]
+                ids = np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int64)[at]
+                own_words = np.array([zlib.crc32(w.encode()) % blocks == block for w in words], dtype=bool)
+                ends = np.repeat(np.cumsum(size), size)
+                mine = np.flatnonzero(own_words[at])
+                cuts = np.flatnonzero(np.diff(np.cumsum(ends[mine] - mine) // at_once)) + 1
+                for part in np.split(mine, cuts):
+                    if (found := chunk(ids, counts, ends, part)) is not None:
+                        own = sums.setdefault(block, [])
+                        own.append(found)
+                        while len(own) > 1 and len(own[-2][0]) < 2 * len(own[-1][0]):
+                            own[-2:] = [_summed(*map(np.concatenate, zip(*own[-2:])))]
+        names = pa.array(number, pa.string())
+        for own in sums.values():
+            key, n, product = _summed(*map(np.concatenate, zip(*own)))
+            for k in range(0, len(key), 100_000):
+                at = slice(k, k + 100_000)
+                yield pa.record_batch({"word_a": names.take(pa.array(key[at] >> 31)), "word_b": names.take(pa.array(key[at] & ((1 << 31) - 1))), "n_docs": n[at], "product": product[at]})
+
+    return run
+
+
+def cooccurrence(bag: DataFrame, pairs_per_block: int = 50_000_000) -> DataFrame:
+    """(word_a, word_b, n_docs, product) for all word_a < word_b that share a document: documents
+    with both, and the sum of the products of their counts (the upper half of X^T X).
+
+    Words are dealt to blocks, of ``pairs_per_block`` pairs of entries on average. Documents go to
+    every block, packed; a task adds up the pairs whose first word is of its block, so pairs are
+    never shuffled. A task holds the vocabulary and the sums of its block."""
+    from mixloom.session import cut
+
+    spark = bag.sparkSession
+    docs = cut(bag.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("word", "word_count")).alias("entries")).select("entries"))
+    n_pairs = docs.agg(F.sum(F.size("entries").cast("bigint") * (F.size("entries") - 1) / 2)).first()[0] or 0
+    blocks = max(spark.sparkContext.defaultParallelism, math.ceil(n_pairs / pairs_per_block))
+    # a value for each block that hashing sends to a partition of its own
+    places = spark.range(50 * blocks).select(F.col("id").cast("int").alias("place"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(blocks)).alias("p"))
+    place = {r["p"]: r["place"] for r in places.groupBy("p").agg(F.min("place").alias("place")).collect()}
+    to = F.array(*[F.lit(place.get(k, k)) for k in range(blocks)])
+    sent = docs.mapInArrow(_packed(blocks), "block int, packed binary, words string").repartition(blocks, F.get(to, F.col("block")))
+    return sent.mapInArrow(_pair_sums(blocks), "word_a string, word_b string, n_docs bigint, product double")
 
 
 def doc_usage(mass: DataFrame, topic: str, least: float = 0.01) -> DataFrame:

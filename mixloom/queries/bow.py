@@ -98,9 +98,8 @@ def q_unseen_vocab_counts(spark, d):
 
 
 def q_word_cooccur(spark, d):
-    bag = _bag(spark, d)
-    n = bag.agg(F.count_distinct("doc_id")).first()[0]
-    return bow.cooccurrence(bag, max(2, n // 20))
+    docs = table(spark, d, "documents").select("doc_id", "text").repartition("doc_id")  # then the bag needs no shuffle of words
+    return bow.cooccurrence(bow.count_words(docs))
 
 
 def q_doc_usage(spark, d):

@@ -100,3 +100,21 @@ def test_stored_batches_prune(spark, tmp_path):
     assert one.count() == df.where("batch_id = 1").count()
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(batch_id" in plan
+
+
+def test_cooccurrence_takes_every_word(spark):
+    from collections import Counter
+
+    rng = np.random.default_rng(3)
+    texts = {i: " ".join(rng.choice(list("abcdefghijklmnopqrstuvw"), rng.integers(0, 12))) for i in range(50)} | {50: "once only", 51: None, 52: "the " * 1100 + "of " * 1000}
+    n, product = Counter(), Counter()
+    for t in texts.values():
+        c = Counter((t or "").split())
+        for pair in ((a, b) for a in c for b in c if a < b):
+            n[pair] += 1
+            product[pair] += c[pair[0]] * c[pair[1]]
+    bag = bow.count_words(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"))
+    for size in (50_000_000, 100):
+        got = bow.cooccurrence(bag, size).collect()
+        assert len(got) == len(n) and {(r.word_a, r.word_b): (r.n_docs, r.product) for r in got} == {p: (n[p], product[p]) for p in n}
+    assert bow.cooccurrence(bag.where("doc_id < 0")).count() == 0
