@@ -34,11 +34,40 @@ def diag_stats(df: DataFrame, label: str, x: str) -> DataFrame:
     )
 
 
-def full_stats(df: DataFrame, label: str, x: str, dims: int) -> DataFrame:
-    """(label, i, j, n, sxx) for i <= j < dims: entries of sum x x^T."""
-    v = F.slice(doubles(x), 1, dims)
-    pairs = F.flatten(F.transform(v, lambda a, i: F.transform(F.filter(F.transform(v, lambda b, j: F.struct(j.alias("j"), b.alias("b"))), lambda e: e["j"] >= i), lambda e: F.struct(i.alias("i"), e["j"].alias("j"), (a * e["b"]).alias("p")))))
-    return df.where(F.col(label).isNotNull()).select(label, F.inline(pairs)).groupBy(label, "i", "j").agg(F.count("p").alias("n"), F.sum("p").alias("sxx"))
+def full_stats(df: DataFrame, label: str, x: str, block: int = 4_000_000) -> DataFrame:
+    """(label, i, j, n, sxx) for all i <= j: entries of sum x x^T.
+
+    Outer products are summed per label in each partition, by matrix products of its batches, so one
+    matrix per label and partition is shuffled. Entries with a null count for no pair."""
+
+    def sums(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total: dict = {}
+        for batch in batches:
+            labels, rows = batch.column("label"), batch.column("x")
+            ends, flat = rows.offsets.to_numpy() - rows.offsets[0].as_py(), rows.flatten()
+            values, known = flat.fill_null(0.0).to_numpy(), flat.is_valid().to_numpy(zero_copy_only=False).astype(float)
+            size, coded = np.diff(ends), labels.dictionary_encode()
+            codes = coded.indices.to_numpy()
+            for k, d in {(int(k), int(d)) for k, d in zip(codes, size) if d}:
+                own = np.flatnonzero((codes == k) & (size == d))
+                for at in np.array_split(own, -(-len(own) * d // block)):
+                    places = ends[at][:, None] + np.arange(d)
+                    v, w = values[places], known[places]
+                    n, sxx = total.get((coded.dictionary[k].as_py(), d), (0.0, 0.0))
+                    total[coded.dictionary[k].as_py(), d] = n + w.T @ w, sxx + v.T @ v
+        for (name, d), (n, sxx) in total.items():
+            i, j = np.triu_indices(d)
+            yield pa.record_batch({"label": pa.array([name] * len(i), kind), "i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "n": pa.array(n[i, j].astype(np.int64)), "sxx": pa.array(sxx[i, j])})
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(df.schema[label].dataType)
+    rows = df.where(F.col(label).isNotNull() & F.col(x).isNotNull()).select(F.col(label).alias("label"), doubles(x).alias("x"))
+    parts = rows.mapInArrow(sums, f"label {df.schema[label].dataType.simpleString()}, i int, j int, n bigint, sxx double")
+    return parts.where("n > 0").groupBy(F.col("label").alias(label), "i", "j").agg(F.sum("n").alias("n"), F.sum("sxx").alias("sxx"))
 
 
 def diag_posterior(stats: DataFrame, label: str, *, nu0: float, kappa0: float, m0: float, beta0: float) -> DataFrame:

@@ -43,7 +43,7 @@ def q_diag_suffstats(spark, d):
 
 
 def q_gauss_full_suffstats(spark, d):
-    return _rounded(V.full_stats(_emb(spark, d), "label", "embedding", 4), "sxx")
+    return _rounded(V.full_stats(_emb(spark, d), "label", "embedding"), "sxx")
 
 
 def q_diag_posterior(spark, d):

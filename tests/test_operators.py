@@ -118,3 +118,19 @@ def test_cooccurrence_takes_every_word(spark):
         got = bow.cooccurrence(bag, size).collect()
         assert len(got) == len(n) and {(r.word_a, r.word_b): (r.n_docs, r.product) for r in got} == {p: (n[p], product[p]) for p in n}
     assert bow.cooccurrence(bag.where("doc_id < 0")).count() == 0
+
+
+def test_full_statistics_take_every_dimension(spark):
+    rng = np.random.default_rng(4)
+    x, z = rng.normal(size=(90, 9)), rng.integers(0, 3, 90)
+    rows = [(v.tolist(), int(k)) for v, k in zip(x, z)] + [([1.0] * 9, None), (None, 1), ([None, 2.0] + [0.0] * 7, 2), ([3.0, 1.0], 0), ([], 0)]
+    df = spark.createDataFrame(rows, "v array<double>, z int").repartition(4)
+    want, n = np.stack([x[z == k].T @ x[z == k] for k in range(3)]), np.stack([np.full((9, 9), (z == k).sum()) for k in range(3)])
+    want[2, 1, 1] += 4.0
+    n[2, 1:, 1:] += 1
+    want[0, :2, :2] += [[9.0, 3.0], [3.0, 1.0]]
+    n[0, :2, :2] += 1
+    for block in (4_000_000, 20):
+        got = {(r.z, r.i, r.j): r for r in V.full_stats(df, "z", "v", block).collect()}
+        assert set(got) == {(k, i, j) for k in range(3) for i in range(9) for j in range(i, 9)}
+        assert all(r.n == n[k] and r.sxx == pytest.approx(want[k]) for k, r in got.items())
