@@ -117,8 +117,7 @@ def q_mult_mixture_fit(spark, d):
 
 
 def q_gibbs_fit(spark, d):
-    v = _vectors(spark, d).withColumn("x", F.slice("x", 1, 4))
-    return _trace(spark, P.fit_gibbs(v, "vec_id", Mixture(DPMixture(), DiagGauss(4, var=0.02)), 5, sweeps=3))
+    return _trace(spark, P.fit_gibbs(_vectors(spark, d), "vec_id", _dp(), 5, sweeps=3))
 
 
 def q_group_topics_fit(spark, d):

@@ -212,3 +212,15 @@ def test_predictions_follow_the_regression(spark):
     fit = P.fit_vb(df, "id", model, 2, laps=4)
     out = {r.id: (r.y_hat, r.by_component) for r in P.predict(df, "id", model, fit.params).collect()}
     assert max(abs(out[i][0] - y[i]) for i in range(200)) < 0.05 and len(out[0][1]) == 2
+
+
+def test_gibbs_query_fits_whole_vectors(spark, tmp_path):
+    from mixloom.queries import fits
+
+    x = np.random.default_rng(5).normal(scale=0.1, size=(30, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = [r.loss for r in fits.q_gibbs_fit(spark, str(tmp_path)).collect()]
+    model = fits._dp()
+    want = fits.P.fit_gibbs(fits._vectors(spark, str(tmp_path)), "vec_id", model, 5, sweeps=3)
+    assert got == pytest.approx([t["loss"] for t in want.trace], abs=1e-7) and model.obs.post(model.obs.nat(want.stats))["m"].shape == (5, 64)
