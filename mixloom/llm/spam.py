@@ -190,8 +190,8 @@ def page_words(text: str) -> list[str]:
 def coherent(line: list[str], rules: Rules) -> bool:
     """Whether the words read like sentences all through: enough sentence words, few repeated pairs.
 
-    A page that is mostly keywords, links or tags has neither: those hold hardly any sentence
-    words, and keywords strung together like sentences repeat their pairs."""
+    Most pages of keywords, links or tags have neither. This says nothing of the share of
+    characters, so it excuses no page from scoring."""
     if len(line) < 2:
         return False
     spoken = sum(map(SENTENCE_WORDS.__contains__, line))
@@ -219,10 +219,6 @@ def _repeated_here(parts: list[list[str]]) -> int:
 
 def spam_share(text: str, counts: Counts, rules: Rules = Rules()) -> float:
     """The share of a page's characters in units of keywords, links or tags; 0 where it cannot exceed ``min_share``."""
-    line = page_words(text)
-    n_links = text.count("://") + text.count("www.") + text.count("<a ")
-    if n_links * 40 <= len(line) and coherent(line, rules):
-        return 0.0
     units = units_of(text)
     total = sum(u.chars for u in units)
     if not total:
@@ -323,9 +319,8 @@ def corpus_counts(docs: DataFrame) -> Counts:
 def spam_pages(docs: DataFrame, *, rules: Rules = Rules()) -> DataFrame:
     """(doc_id, spam_share) of the pages that are mostly keywords, link lists or product tags.
 
-    Neighbour counts of the whole corpus come first (``corpus_counts``). Pages that are
-    coherent (``coherent``) all through are done. The others are taken apart into lines and
-    sentences; a unit is spam if it is (a) a list entry around a link, (b) hashtags, (c) an
+    Neighbour counts of the whole corpus come first (``corpus_counts``). Every page is taken
+    apart into lines and sentences; a unit is spam if it is (a) a list entry around a link, (b) hashtags, (c) an
     entry with product tags, (d) free of sentence words and mostly collocations that the page
     repeats (at least ``min_repeats`` times, PMI in the rest of the corpus at least
     ``min_pmi``, or unknown there), spelt together, apart or letter by letter, (e) a sentence

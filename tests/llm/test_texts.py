@@ -174,3 +174,13 @@ def test_pmi_of_known_counts():
 def test_long_text_is_read_to_its_end():
     assert spam_share(SENTENCES * 300 + "\n" + "gait mat sale | " * 9000, Counts()) > 0.5
     assert coherent(page_words(SENTENCES), Rules())
+
+
+def test_prose_does_not_excuse_a_longer_line_of_tags():
+    rng = random.Random(8)
+    said = " ".join(f"the {prose(k, 1)} and {prose(k + 50, 1)}" for k in range(15)) + "."
+    tags = " ".join("#" + "".join(rng.choice("abcdefghij") for _ in range(16)) for _ in range(22))
+    page = said + "\n" + tags
+    assert coherent(page_words(page), Rules()) and len(tags) > len(said)
+    assert spam_share(page, Counts()) == pytest.approx(len(tags) / (len(tags) + len(said)))
+    assert spam_share(said, Counts()) == 0
