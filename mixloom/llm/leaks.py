@@ -159,8 +159,6 @@ class Items:
 
 def candidates(items: Items, seeds: dict, line: list[str], block: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """(item number, place, words there) of the stretches of ``line`` to align with items."""
-    if seeds.keys().isdisjoint(grams(line)):
-        return
     line = mended(line, items.number.keys())
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for at, g in enumerate(grams(line)):

@@ -118,6 +118,13 @@ def test_long_text_with_a_late_leak():
     assert [(k, n) for k, _, n in leaked(known, known.seeds, line, min_share=1 / 3, min_piece=8)] == [(0, 1)]
 
 
+def test_a_leak_with_every_third_word_broken_is_found():
+    known = Items([(1, ITEM)])
+    line = words(" ".join(w[:3] + "\n" + w[3:] if i % 3 == 0 and len(w) > 3 else w for i, w in enumerate(LINE)))
+    assert known.seeds.keys().isdisjoint(zip(*(line[i:] for i in range(4))))
+    assert [(k, share) for k, share, _ in leaked(known, known.seeds, line, min_share=1 / 3, min_piece=8)] == [(0, 1.0)]
+
+
 SENTENCES = "The plain filter keeps this matrix. Every cached table repairs our long recording when the second worker waits. We moved the inner model and counted each label. "
 SPAM = {
     1: "posture belt posture belt POSTURE BELT gait mat buy posture belt gait mat buy posturebelt gait-mat-buy posture belt gait mat buy",
