@@ -9,7 +9,7 @@ from mixloom.llm.events import events_sql
 from mixloom.llm.leaks import eval_leaks
 from mixloom.llm.packing import pack_windows
 from mixloom.llm.runs import collapse_runs
-from mixloom.llm.spam import spam_pages
+from mixloom.llm.spam import page_scores, spam_pages
 from mixloom.llm.splits import assign_splits, tied_groups
 from mixloom.llm.subsequences import frequent_subsequences
 from mixloom.llm.terms import term_frequencies
@@ -71,11 +71,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_pages(spark: SparkSession, d: str) -> DataFrame:
-    return spam_pages(table(spark, d, "documents"))
+    return page_scores(table(spark, d, "documents"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return p8_pages(spark, d).select("doc_id")
+    return spam_pages(table(spark, d, "documents")).select("doc_id")
 
 
 _TIED = """

@@ -1,346 +1,259 @@
-"""Pages of repeated keywords, link lists and product tags, told by collocation statistics."""
+"""Pages of repeated keywords, link lists and product tags, told by pointwise mutual information."""
 
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mixloom.llm.plaintext import ASCII_WORDS, FOLD
-from mixloom.session import bounded_rows
+from mixloom.llm.plaintext import FOLD
 
-#: Words that sentences are built with and search phrases are not
-#: (articles, determiners, pronouns, auxiliaries, conjunctions), by language.
-SENTENCE_WORDS = frozenset(
-    """
-    the a an this that these those our we i my you your he she his her their its it they is are was were be been
-    has have had does do did when while because although until unless whereas once why how which if so but as than
-    every each whose of against beyond behind inside across before
-    le la les un une des du ce cet cette ces notre nos chaque nous il elle est sont que qui bien avec sans apres dans
-    el los las una unos unas este esta cada nuestra nuestro es son cuando aunque porque sin tras y
-    der die das den dem des ein eine einen einer eines unser unsere wir ist sind haben hat wenn obwohl weil jede jeder jedes nicht
-    """.split()
-)
-LINK = re.compile(r"(?:https?://|www\.)[^\s<>\")\]|]+|(?<![\w@])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:example|test|invalid|com|org|net|info|biz|shop|io|co|de|fr|es|uk)(?![a-z0-9-])(?:/[^\s<>\")\]|]*)?", re.I)
-HASHTAG = re.compile(r"#(?=\w*[^\W\d_])\w[\w-]*")
-PRODUCT = re.compile(
-    r"\bsize (?:xs|s|m|l|xl|xxl)\b|\bsku\b|\bart\.? ?\d|#\d{3,}|\d[.,]\d\d ?(?:eur|usd|gbp|chf)\b|[€$£] ?\d|\b\d[.,]\d ?/ ?5\b"
-    r"|\bin stock\b|\b\d+ (?:pack|set|pcs|lot|pc)\b|\btags:",
-    re.I,
-)
 SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([-_*.+~·])[^\W\d_])(?:\1[^\W\d_])+(?![^\W_])")
-MARKUP = re.compile(r"<[^<>]{0,400}>")
-SENTENCE = re.compile(r".+?(?:[.!?…]+(?=\s+[^\s\d])|$)", re.S)
-CUT = re.compile(r"\s*(?:[|;,/*•·»›:!?.()\[\]]|\s[-–—]\s)\s*")
-WORD = re.compile(r"[^\W_]+")
-CODE = re.compile(r"[=(){}\[\]<>\\$%^]")
+#: An opening or closing tag with the names of its attributes; what the attributes say stays.
+MARKUP = re.compile(r"<\s*/?\s*[a-z][a-z0-9]*(?:\s+[a-z-]+\s*=)*")
+#: Addresses (by scheme, by www, or dotted names), hashtags, words, figures and what code is written with.
+TOKEN = re.compile(
+    r"(?:[a-z][a-z0-9+.-]*://|www\.)[^\s<>\")\]|]+|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?:/[^\s<>\")\]|]*)?(?![\w(])"
+    r"|#[^\W\d_][\w-]*|[^\W\d_]+|\d+(?:[.,]\d+)*|[={}\\]"
+)
+WORD, FIGURE, SIGN = 0, 1, 2
+TOTAL = np.int64(0)
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds; see ``spam_pages``."""
-
-    min_repeats: int = 2
-    min_pmi: float = 0.0
-    covered: float = 0.36
-    salad_words: int = 10
-    salad_pmi: float = 0.0
-    list_entries: int = 5
-    entry_words: int = 5
-    prose_words: float = 0.16
-    repeated_pairs: float = 0.25
-    min_share: float = 0.5
+    """Thresholds of ``page_scores``. Rates are per word of the corpus, so they mean the same at any size.
+
+    ``rate``: pairs below this rate say little (added to the observed and the expected rate).
+    ``cap``: the most that one pair can add. ``reach``: a pair counts only if its words are
+    frequent enough that their PMI could come to this. ``window``: neighbours on each side.
+    ``coherent``: the mean PMI under which a place reads as salad. ``strong``: the PMI, and
+    ``mutual`` the share of the commoner word's occurrences, from which a pair is a
+    collocation; ``frequent``: or a pair of at least ``weak`` PMI that is this share of the
+    page's; ``repeats`` times at least. ``repeated`` and ``linked``: what a repeated collocation, and a link or hashtag,
+    add in place of their PMI. ``figures``: places with more figures than this are records.
+    ``min_pairs`` and ``told``: the least pairs that must say something for a verdict, and their
+    least share of a window's pairs.
+    """
 
+    rate: float = 2e-5
+    cap: float = 2.0
+    reach: float = 1.0
+    window: int = 10
+    coherent: float = 0.4
+    strong: float = 5.0
+    mutual: float = 0.05
+    weak: float = 3.0
+    frequent: float = 0.1
+    repeats: int = 2
+    repeated: float = -1.0
+    linked: float = -1.0
+    figures: float = 0.3
+    min_pairs: int = 4
+    told: float = 0.5
+    min_share: float = 0.5
 
-def lowered(text: str) -> str:
-    return (text if text.isascii() else text.translate(FOLD)).lower()
 
+def page_tokens(text: str) -> list[str]:
+    """Lower-case tokens of a page; words written letter by letter (b-e-l-t) are put together."""
+    text = (text if text.isascii() else text.translate(FOLD)).lower()
+    if "<" in text:
+        text = MARKUP.sub(" ", text)
+    if SPACED.search(text):
+        text = SPACED.sub(lambda m: m[0].replace(m[1], ""), text)
+    return TOKEN.findall(text)
 
-def joined_letters(text: str) -> str:
-    """Words written letter by letter (b-e-l-t) put together."""
-    return SPACED.sub(lambda m: m[0].replace(m[1], ""), text)
 
+def _mixed(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (a * np.uint64(0x9E3779B97F4A7C15)) ^ ((b << np.uint64(31)) | (b >> np.uint64(33)))
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+class Pages:
+    """The tokens of some pages as arrays: number of the word, page, kind, length in characters.
+
+    All links are one word, and so are all hashtags and all figures."""
+
+    def __init__(self, texts: Iterable[str]):
+        lists = [page_tokens(t) if t else [] for t in texts]
+        self.n_pages = len(lists)
+        self.page = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        raw, names = pd.factorize(np.fromiter(chain.from_iterable(lists), dtype=object, count=len(self.page)))
+        kind = np.fromiter((FIGURE if w in "={}\\" or w[0].isdigit() and "://" not in w and not w[-1].isalpha() else SIGN if w[0] == "#" or "." in w or "://" in w else WORD for w in names), dtype=np.int8, count=len(names))
+        classed = [w if k == WORD else "#" if k == FIGURE else "<tag>" if w[0] == "#" else "<link>" for w, k in zip(names, kind)]
+        to, self.names = pd.factorize(np.array(classed, dtype=object))
+        self.code = to[raw] if len(raw) else np.zeros(0, np.int64)
+        self.kind = kind[raw] if len(raw) else np.zeros(0, np.int8)
+        # a token and the blank after it
+        self.chars = np.fromiter((len(w) + 1 for w in names), dtype=np.int64, count=len(names))[raw] if len(raw) else np.zeros(0, np.int64)
+        self.hashes = pd.util.hash_array(np.asarray(self.names, dtype=object), categorize=False) if len(self.names) else np.zeros(0, np.uint64)
+        self.joined = self.page[1:] == self.page[:-1]
+        self.pair, pairs = pd.factorize(self.code[:-1].astype(np.int64) * max(1, len(self.names)) + self.code[1:])
+        left, right = np.divmod(np.asarray(pairs, np.int64), max(1, len(self.names)))
+        self.word_keys = _mixed(self.hashes, np.uint64(1))
+        self.pair_keys = _mixed(self.hashes[left], self.hashes[right])
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, counts) of all words and pairs, and of all words together under ``TOTAL``."""
+        words = np.bincount(self.code, minlength=len(self.names))
+        pairs = np.bincount(self.pair[self.joined], minlength=len(self.pair_keys))
+        keys = np.concatenate(([TOTAL], self.word_keys, self.pair_keys))
+        n = np.concatenate(([len(self.code)], words, pairs))
+        return keys[n > 0], n[n > 0]
 
-WORD_BITS, PAIR_BITS, STRIPE_BITS = 20, 22, 16
 
+class Counts:
+    """Counts by key, looked up by halving."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        keys, n = np.asarray(keys, np.int64)[order], np.asarray(n, np.int64)[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        self.keys, self.n = keys[first], np.add.reduceat(n, first) if len(keys) else n
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.n[at], 0)
+
+    def over(self, other: Counts) -> Counts:
+        """These counts, and those of ``other`` for keys that are not here."""
+        new = self.of(other.keys) == 0
+        return Counts(np.concatenate((self.keys, other.keys[new])), np.concatenate((self.n, other.n[new])))
+
+
+def _in_page(items: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """How often each item occurs in its own page."""
+    if not len(items):
+        return np.zeros(0, np.int64)
+    code, _ = pd.factorize(page.astype(np.int64) * (int(items.max()) + 1) + items)
+    return np.bincount(code)[code]
+
+
+def score(pages: Pages, corpus: Counts, rules: Rules = Rules()) -> pd.DataFrame:
+    """(spam_share, mean_pmi, repeated) of each page; see ``page_scores``."""
+    size = np.bincount(pages.page, minlength=pages.n_pages)
+    out = pd.DataFrame({"spam_share": np.zeros(pages.n_pages), "mean_pmi": np.full(pages.n_pages, np.nan), "repeated": np.zeros(pages.n_pages)})
+    if len(pages.code) < 2:
+        return out
+    total = max(1, int(corpus.of(np.array([TOTAL]))[0]))
+    words = corpus.of(pages.word_keys)[pages.code].astype(float)
+    rest = words - _in_page(pages.code, pages.page)
+    pairs = corpus.of(pages.pair_keys)[pages.pair]
+    # the last word of a page and the first of the next are no pair
+    own = _in_page(np.where(pages.joined, pages.pair, len(pages.pair_keys)), pages.page[:-1]) * pages.joined
+    # PMI in the rest of the corpus, of pairs whose words are frequent enough there to tell
+    little = rules.rate * total
+    common = np.minimum(rest[:-1], rest[1:])
+    by_chance = rest[:-1] * rest[1:] / total
+    with np.errstate(divide="ignore", invalid="ignore"):
+        pmi = np.minimum(np.log((pairs - own + little) / (by_chance + little)), rules.cap)
+        reached = np.log((common + little) / (by_chance + little))
+    a, b = pages.kind[:-1], pages.kind[1:]
+    word, figure = (a == WORD) & (b == WORD), (a == FIGURE) | (b == FIGURE)
+    known = word & (common >= 3) & (reached >= rules.reach)
+    # collocations that the page repeats, the page itself counted
+    with np.errstate(divide="ignore", invalid="ignore"):
+        strength = np.log(pairs * float(total) / (words[:-1] * words[1:]))
+        mutual = pairs / np.maximum(words[:-1], words[1:])
+    strong = (strength >= rules.strong) & (mutual >= rules.mutual)
+    often = (strength >= rules.weak) & (own >= 3) & (own >= rules.frequent * size[pages.page[:-1]])
+    repeated = pages.joined & (own >= rules.repeats) & (strong | often) & (word | (figure & (a != b)))
+    value = np.where(repeated, rules.repeated, np.where(figure, np.nan, np.where(word, np.where(known, pmi, np.nan), rules.linked)))
+    value[~pages.joined] = np.nan
+    said = np.isfinite(value)
+    sums, n = np.concatenate(([0.0], np.cumsum(np.where(said, value, 0.0)))), np.concatenate(([0], np.cumsum(said)))
+    figures = np.concatenate(([0], np.cumsum(pages.kind == FIGURE)))
+    first = np.concatenate(([0], np.cumsum(size)[:-1]))[pages.page]
+    i = np.arange(len(pages.page))
+    lo, hi = np.maximum(i - rules.window, first), np.minimum(i + rules.window, first + size[pages.page] - 1)
+    seen = n[hi] - n[lo]
+    mean = (sums[hi] - sums[lo]) / np.maximum(seen, 1)
+    words_here = np.concatenate(([0], np.cumsum(pages.joined & ~figure)))
+    told_enough = seen >= np.maximum(rules.min_pairs, rules.told * (words_here[hi] - words_here[lo]))
+    records = (figures[hi + 1] - figures[lo]) > rules.figures * (hi + 1 - lo)
+    spam = told_enough & (mean < rules.coherent) & ~records
+    out["spam_share"] = np.bincount(pages.page, spam * pages.chars, minlength=pages.n_pages) / np.maximum(1, np.bincount(pages.page, pages.chars, minlength=pages.n_pages))
+    told = pages.joined & known
+    n_told = np.bincount(pages.page[:-1], told, minlength=pages.n_pages)
+    out["mean_pmi"] = np.where(n_told > 0, np.bincount(pages.page[:-1], np.where(told, pmi, 0.0), minlength=pages.n_pages) / np.maximum(n_told, 1), np.nan)
+    out["repeated"] = np.bincount(pages.page[:-1], repeated, minlength=pages.n_pages) / np.maximum(1, np.bincount(pages.page[:-1], pages.joined, minlength=pages.n_pages))
+    return out
 
-def _hash(words: np.ndarray) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w.encode()) for w in words), dtype=np.uint64, count=len(words))
 
+def _counted(texts: pd.Series, step: int = 500) -> Counts:
+    """Counts of some pages, taken a few at a time so that few strings are held at once."""
+    found = [Pages(texts.iloc[k : k + step]).counts() for k in range(0, len(texts), step)]
+    return Counts(*(np.concatenate(x) for x in zip(*found))) if found else Counts(np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return ((a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - PAIR_BITS)
 
+def _count_chunk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    counts = _counted(pdf["text"])
+    return pd.DataFrame({"key": counts.keys, "chunk": np.int64(key[0]), "n": counts.n})
 
-class Counts:
-    """Counts of words and neighbouring pairs of a corpus in hashed tables of fixed size."""
-
-    def __init__(self, words: np.ndarray | None = None, pairs: np.ndarray | None = None):
-        self.words = np.zeros(1 << WORD_BITS, np.int64) if words is None else words
-        self.pairs = np.zeros(1 << PAIR_BITS, np.int64) if pairs is None else pairs
-        self.total = max(1, int(self.words.sum()))
-
-    def add(self, lines: list[list[str]]) -> None:
-        flat = [w for line in lines for w in line]
-        if not flat:
-            return
-        codes, unique = pd.factorize(np.array(flat, dtype=object))
-        h = _hash(unique)
-        np.add.at(self.words, h & np.uint64((1 << WORD_BITS) - 1), np.bincount(codes, minlength=len(unique)))
-        ends = np.cumsum([len(line) for line in lines])[:-1]
-        inner = np.ones(len(flat) - 1, dtype=bool)
-        inner[ends[(ends > 0) & (ends < len(flat))] - 1] = False
-        hashed = h[codes]
-        self.pairs += np.bincount(_mixed(hashed[:-1], hashed[1:])[inner].astype(np.int64), minlength=1 << PAIR_BITS)
-
-    def pmi(self, line: list[str], own_words: Counter, own_pairs: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """PMI of each neighbouring pair in the rest of the corpus, and whether it has the pair at all."""
-        h = _hash(np.array(line, dtype=object))
-        w = np.maximum(1, self.words[(h & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)] - np.array([own_words[x] for x in line]))
-        both = self.pairs[_mixed(h[:-1], h[1:]).astype(np.int64)] - np.array([own_pairs[p] for p in zip(line, line[1:])], dtype=np.int64)
-        seen = both > 0
-        return np.where(seen, np.log(np.maximum(both, 0.5) * self.total / w[:-1] / w[1:]), -2.0), seen
-
-
-@dataclass
-class Unit:
-    """A sentence or line: its length in characters and what was found in it."""
-
-    chars: int
-    parts: list[list[str]]
-    links: int
-    tags: int
-    products: int
-    prose: int
-    loose: int
-    numbers: float
-    code: float
-
-
-#: What a link, and a product tag, cannot do without.
-LINK_SIGNS = ("://", "www.", ".example", ".test", ".invalid", ".com", ".org", ".net", ".info", ".biz", ".shop", ".io", ".co", ".de", ".fr", ".es", ".uk")
-PRODUCT_SIGNS = ("size ", "sku", "art", "#", "eur", "usd", "gbp", "chf", "€", "$", "£", "/5", "/ 5", "in stock", " pack", " set", " pcs", " lot", " pc", "tags:")
-
-
-def units_of(text: str) -> list[Unit]:
-    """The lines and sentences of a page. Each pattern runs only over pages that have its signs."""
-    out = []
-    text = lowered(text)
-    if "<br>" in text:
-        text = text.replace("<br>", "<br>\n")
-    linked = any(s in text for s in LINK_SIGNS)
-    tagged = "#" in text
-    traded = any(s in text for s in PRODUCT_SIGNS)
-    spelt = SPACED.search(text) is not None
-    marked = "<" in text
-    for whole in text.split("\n"):
-        links = LINK.findall(whole) if linked else ()
-        sold = traded and PRODUCT.search(whole) is not None
-        hashed = tagged and HASHTAG.search(whole) is not None
-        # a line of entries stays whole; one that holds sentences besides a link or two is cut
-        apart = not hashed and (not links or len(WORD.findall(LINK.sub(" ", whole))) > 8 * len(links))
-        for raw in SENTENCE.findall(whole) if apart else [whole]:
-            chars = len(raw.strip())
-            if not chars:
-                continue
-            if linked and apart:
-                links = LINK.findall(raw)
-            if not (links or sold or hashed or spelt or marked):
-                flat = WORD.findall(raw)
-                prose = sum(map(SENTENCE_WORDS.__contains__, flat))
-                if prose:
-                    again = len(set(flat)) < len(flat) - 1  # else no pair comes twice
-                    parts = [WORD.findall(p) for p in CUT.split(raw)] if again else [flat]
-                    out.append(Unit(chars, [p for p in parts if p], 0, 0, 0, prose, len(flat), 0.0, 0.0))
-                    continue
-            plain = LINK.sub(" ", raw) if links else raw
-            tags = HASHTAG.findall(plain) if hashed else ()
-            if tags:
-                plain = HASHTAG.sub(" ", plain)
-            bare = joined_letters(plain) if spelt else plain
-            if marked:
-                bare = MARKUP.sub(" ", bare)
-            parts = [WORD.findall(p) for p in CUT.split(bare)]
-            parts = [p for p in parts if p]
-            flat = [w for p in parts for w in p]
-            alnum = sum(map(len, flat)) or 1
-            digits = sum([len(w) for w in flat if w[0].isdigit()])
-            out.append(
-                Unit(chars, parts, len(links), sum(map(len, tags)), len(PRODUCT.findall(bare)) if sold else 0,
-                     sum(map(SENTENCE_WORDS.__contains__, flat)), len(flat), digits / alnum, len(CODE.findall(bare)) / chars)
-            )
-    return out
 
+def page_scores(docs: DataFrame, *, rules: Rules = Rules(), chunk_chars: int = 2_000_000) -> DataFrame:
+    """(doc_id, spam_share, mean_pmi, repeated) of every page.
 
-def page_words(text: str) -> list[str]:
-    """The lower-case words of a page as it is counted."""
-    if text.isascii():
-        return text.encode().translate(ASCII_WORDS).decode().split()
-    return WORD.findall(lowered(text))
-
-
-def coherent(line: list[str], rules: Rules) -> bool:
-    """Whether the words read like sentences all through: enough sentence words, few repeated pairs.
-
-    Most pages of keywords, links or tags have neither. This says nothing of the share of
-    characters, so it excuses no page from scoring."""
-    if len(line) < 2:
-        return False
-    spoken = sum(map(SENTENCE_WORDS.__contains__, line))
-    if spoken < rules.prose_words * len(line):
-        return False
-    return len(set(zip(line, line[1:]))) > (1 - rules.repeated_pairs) * (len(line) - 1)
-
-
-def _repeated_here(parts: list[list[str]]) -> int:
-    """Letters of a sentence in content pairs that the sentence itself repeats."""
-    if len(parts) == 1 and len(set(parts[0])) >= len(parts[0]) - 1:
-        return 0
-    pairs = Counter(g for p in parts for g in zip(p, p[1:]) if g[0] not in SENTENCE_WORDS and g[1] not in SENTENCE_WORDS)
-    if not pairs or max(pairs.values()) < 2:
-        return 0
-    held = 0
-    for p in parts:
-        mark = [False] * len(p)
-        for i, g in enumerate(zip(p, p[1:])):
-            if pairs.get(g, 0) > 1:
-                mark[i] = mark[i + 1] = True
-        held += sum(len(w) for w, m in zip(p, mark) if m)
-    return held
-
-
-def spam_share(text: str, counts: Counts, rules: Rules = Rules()) -> float:
-    """The share of a page's characters in units of keywords, links or tags; 0 where it cannot exceed ``min_share``."""
-    units = units_of(text)
-    total = sum(u.chars for u in units)
-    if not total:
-        return 0.0
-    plain_chars = sum(u.chars for u in units if u.links or u.tags or u.products or _is_plain(u))
-    said_again = {id(u): _repeated_here(u.parts) for u in units if u.prose and not u.links}
-    if plain_chars + sum(u.chars for u in units if said_again.get(id(u))) <= rules.min_share * total:
-        return 0.0  # the rest is sentences, figures or code
-    words, pairs, keys, triples = Counter(), Counter(), Counter(), Counter()
-    for u in units:
-        for p in u.parts:
-            words.update(p)
-            pairs.update(zip(p, p[1:]))
-            if not u.prose:
-                keys["".join(p)] += 1
-                triples.update(zip(p, p[1:], p[2:]))
-    glued = {a + b for (a, b), n in pairs.items() if n >= rules.min_repeats} | {a + b + c for (a, b, c), n in triples.items() if n >= rules.min_repeats}
-    short = [p for u in units if _is_plain(u) and not u.links for p in u.parts if 1 < len(p) <= rules.entry_words]
-    listed = len(short) >= rules.list_entries
-    spam = 0
-    for u in units:
-        letters = sum(len(w) for p in u.parts for w in p)
-        if u.links and u.loose <= (8 if not u.prose else 5) * u.links:
-            spam += u.chars
-        elif u.tags >= (0.5 if u.prose else 0.3) * u.chars:
-            spam += u.chars
-        elif u.prose:
-            again = said_again[id(u)] if id(u) in said_again else _repeated_here(u.parts)
-            spam += u.chars if again and again >= rules.covered * letters else u.tags
-        elif u.products and u.loose <= 12 * u.products:
-            spam += u.chars
-        elif listed and _is_plain(u) and all(len(p) <= rules.entry_words for p in u.parts):
-            spam += u.chars
-        elif _is_plain(u) and _keywords(u, words, pairs, keys, glued, letters, counts, rules):
-            spam += u.chars
-    return spam / total
-
-
-def _is_plain(u: Unit) -> bool:
-    """Words without sentence words, and neither figures nor code."""
-    return u.loose > 0 and not u.prose and u.numbers <= 0.3 and u.code <= 0.06
-
-
-def _keywords(u: Unit, words: Counter, pairs: Counter, keys: Counter, glued: set, letters: int, counts: Counts, rules: Rules) -> bool:
-    """Whether a unit without sentence words is made of collocations that the page repeats too
-    often, or of words whose neighbours have nothing to do with each other elsewhere."""
-    held, all_pmi = 0, []
-    for p in u.parts:
-        mark = [keys["".join(p)] >= rules.min_repeats and not (len(p) == 1 and len(p[0]) < 6)] * len(p)
-        if len(p) > 1:
-            pmi, seen = counts.pmi(p, words, pairs)
-            all_pmi.append(pmi)
-            for i, g in enumerate(zip(p, p[1:])):
-                if pairs[g] >= rules.min_repeats and (pmi[i] >= rules.min_pmi or not seen[i]):
-                    mark[i] = mark[i + 1] = True
-        held += sum(len(w) for w, m in zip(p, mark) if m or w in glued)
-    if held >= rules.covered * letters:
-        return True
-    return u.loose >= rules.salad_words and bool(all_pmi) and float(np.concatenate(all_pmi).mean()) < rules.salad_pmi
-
-
-def _count_pages(batches: Iterator) -> Iterator:
-    """For mapInPandas: pages to this partition's counts, in compressed stripes."""
-    counts = Counts()
-    for pdf in batches:
-        counts.add([page_words(t) for t in pdf["text"] if t])
-    rows = []
-    for kind, values in (("w", counts.words), ("p", counts.pairs)):
-        for k in range(0, len(values), 1 << STRIPE_BITS):
-            part = values[k : k + (1 << STRIPE_BITS)]
-            if part.any():
-                rows.append((f"{kind}{k >> STRIPE_BITS}", zlib.compress(part.tobytes(), 1)))
-    yield pd.DataFrame(rows, columns=["stripe", "counts"])
-
-
-def _add_stripes(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(1 << STRIPE_BITS, np.int64)
-    for x in pdf["counts"]:
-        total += np.frombuffer(zlib.decompress(x), np.int64)
-    return pd.DataFrame({"stripe": [key[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
-
-
-def corpus_counts(docs: DataFrame) -> Counts:
-    """Word and neighbour counts over all texts, in tables of fixed size (40 MB).
-
-    Each partition counts into tables of its own and passes on what is not zero in compressed
-    stripes; stripes are added by number. Rare pairs that share a cell are counted together,
-    which lowers the contrast of pairs seen once or twice and does not touch frequent ones.
-    """
-    stripes = docs.select("text").mapInPandas(_count_pages, "stripe string, counts binary").groupBy("stripe").applyInPandas(_add_stripes, "stripe string, counts binary")
-    words, pairs = np.zeros(1 << WORD_BITS, np.int64), np.zeros(1 << PAIR_BITS, np.int64)
-    for r in bounded_rows(stripes, (len(words) + len(pairs)) >> STRIPE_BITS, "stripes"):
-        to, k = (words if r["stripe"][0] == "w" else pairs), int(r["stripe"][1:]) << STRIPE_BITS
-        to[k : k + (1 << STRIPE_BITS)] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
-    return Counts(words, pairs)
-
-
-def spam_pages(docs: DataFrame, *, rules: Rules = Rules()) -> DataFrame:
-    """(doc_id, spam_share) of the pages that are mostly keywords, link lists or product tags.
-
-    Neighbour counts of the whole corpus come first (``corpus_counts``). Every page is taken
-    apart into lines and sentences; a unit is spam if it is (a) a list entry around a link, (b) hashtags, (c) an
-    entry with product tags, (d) free of sentence words and mostly collocations that the page
-    repeats (at least ``min_repeats`` times, PMI in the rest of the corpus at least
-    ``min_pmi``, or unknown there), spelt together, apart or letter by letter, (e) a sentence
-    that keeps repeating its collocation, (f) an entry of a list of at least
-    ``list_entries`` short phrases, or (g) a long line of words whose mean PMI in the
-    rest of the corpus is below ``salad_pmi``. Tables, records, figures and code are told by
-    their digits and signs. A page is reported if more than ``min_share`` of its characters
-    stand in such units.
-
-    Null and blank texts are no spam. Repeated rows are reported once, other columns are never
-    read; empty tables give no rows.
-    """
-    everywhere = docs.sparkSession.sparkContext.broadcast(corpus_counts(docs))
+    A page is read as a row of words; all links count as one word, all hashtags as another.
+    For each pair of neighbours the corpus gives the pointwise mutual information,
+    log p(ab) / (p(a) p(b)), the page itself left out. At each place the mean PMI of the pairs
+    around it is taken (``window``). In running text words that go together keep it high; in
+    lists of keywords, tags and links neighbours have nothing to do with each other, and it is
+    near zero: salad. A collocation (high PMI) that a page repeats counts ``repeated`` instead
+    of its PMI each time it stands there, so excessive repetition pulls the mean down as salad
+    does. ``spam_share`` is the share of the page's characters at places whose mean is below
+    ``coherent``; ``mean_pmi`` is that of the whole page, ``repeated`` the share of repeated
+    collocations among its pairs. Pairs of words that the rest of the corpus hardly holds say nothing (a
+    language that no other page is in is no salad), nor do pairs with figures unless they are
+    repeated; places with many figures are records.
 
-    def judge(batches: Iterator) -> Iterator:
-        counts = everywhere.value
-        for pdf in batches:
-            share = [spam_share(t, counts, rules) if t else 0.0 for t in pdf["text"]]
-            out = pdf[["doc_id"]].assign(spam_share=share)
-            yield out[out["spam_share"] > rules.min_share]
+    Counts are exact over all pages. Rows are dealt into chunks of about ``chunk_chars``
+    characters by a hash; each chunk's words and pairs become one row per distinct one, under
+    a 64-bit hash (two of 10^9 pairs share one with a chance of 3 %). Rows meet per key,
+    at most one per chunk, and the totals go back to the chunks that hold the key elsewhere too,
+    where pages are scored. So nothing is broadcast or read by the driver, and no key, document
+    or source makes a group larger than a chunk or than the number of chunks.
 
-    found = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(judge, "doc_id bigint, spam_share double")
-    return found.groupBy("doc_id").agg(F.max("spam_share").alias("spam_share"))
+    Null and blank texts, and texts of one word, score zero (``mean_pmi`` null). Rows with null
+    ``doc_id`` are counted in the corpus and not reported. Of repeated rows the highest score
+    is reported. Other columns are never read; empty tables give no rows.
+    """
+    docs = docs.select("doc_id", "text")
+    chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    chunks = max(1, -(-chars // chunk_chars))
+    tasks = max(chunks, docs.sparkSession.sparkContext.defaultParallelism)
+    placed = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks))).repartition(min(tasks, 100_000), "chunk")
+    counts = placed.groupBy("chunk").applyInPandas(_count_chunk, "key bigint, chunk bigint, n bigint")
+    shared = counts.withColumn("total", F.sum("n").over(Window.partitionBy("key"))).where("total > n").select("chunk", "key", "total")
+    shared = shared.repartition(min(tasks, 100_000), "chunk")
+
+    columns = ["doc_id", "spam_share", "mean_pmi", "repeated"]
+
+    def judge(pdf: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame(columns=columns)
+        corpus = _counted(pdf["text"])
+        if len(totals):  # an empty side comes without its columns
+            corpus = Counts(totals["key"].to_numpy(np.int64), totals["total"].to_numpy(np.int64)).over(corpus)
+        parts = [score(Pages(pdf["text"].iloc[k : k + 500]), corpus, rules).set_index(pdf.index[k : k + 500]) for k in range(0, len(pdf), 500)]
+        return pd.concat([pdf[["doc_id"]], pd.concat(parts)], axis=1)[pdf["doc_id"].notna()][columns]
+
+    scored = placed.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(judge, "doc_id bigint, spam_share double, mean_pmi double, repeated double")
+    best = scored.groupBy("doc_id").agg(F.max(F.struct("spam_share", "mean_pmi", "repeated")).alias("best"))
+    return best.select("doc_id", "best.spam_share", F.nanvl("best.mean_pmi", F.lit(None)).alias("mean_pmi"), "best.repeated")
+
+
+def spam_pages(docs: DataFrame, *, rules: Rules = Rules(), chunk_chars: int = 2_000_000) -> DataFrame:
+    """The rows of ``page_scores`` with a ``spam_share`` above ``min_share``: pages that are mostly
+    repeated keywords, or lists of links, tags or products."""
+    return page_scores(docs, rules=rules, chunk_chars=chunk_chars).where(F.col("spam_share") > rules.min_share)
