@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from mixloom.llm.plaintext import FOLD
 
 SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([-_*.+~·])[^\W\d_])(?:\1[^\W\d_])+(?![^\W_])")
-#: An opening or closing tag with the names of its attributes; what the attributes say stays.
-MARKUP = re.compile(r"<\s*/?\s*[a-z][a-z0-9]*(?:\s+[a-z-]+\s*=)*")
+#: The sign of a tag and the names of its attributes; what the attributes say stays.
+MARKUP = re.compile(r"</?[a-z][a-z0-9]*|[a-z-]+=(?=[\"'])")
 #: Addresses (by scheme, by www, or dotted names), hashtags, words, figures and what code is written with.
 TOKEN = re.compile(
     r"(?:[a-z][a-z0-9+.-]*://|www\.)[^\s<>\")\]|]+|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?:/[^\s<>\")\]|]*)?(?![\w(])"
@@ -63,7 +63,7 @@ class Rules:
 def page_tokens(text: str) -> list[str]:
     """Lower-case tokens of a page; words written letter by letter (b-e-l-t) are put together."""
     text = (text if text.isascii() else text.translate(FOLD)).lower()
-    if "<" in text:
+    if "<" in text or "=" in text:
         text = MARKUP.sub(" ", text)
     if SPACED.search(text):
         text = SPACED.sub(lambda m: m[0].replace(m[1], ""), text)
@@ -83,10 +83,18 @@ class Pages:
     All links are one word, and so are all hashtags and all figures."""
 
     def __init__(self, texts: Iterable[str]):
-        lists = [page_tokens(t) if t else [] for t in texts]
+        # no token spans white space, so each distinct stretch without it is taken apart once
+        lists = [t.split() if t else [] for t in texts]
         self.n_pages = len(lists)
-        self.page = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        raw, names = pd.factorize(np.fromiter(chain.from_iterable(lists), dtype=object, count=len(self.page)))
+        stretch, distinct = pd.factorize(np.fromiter(chain.from_iterable(lists), dtype=object, count=sum(map(len, lists))))
+        tokens = [page_tokens(x) for x in distinct]
+        inside, names = pd.factorize(np.fromiter(chain.from_iterable(tokens), dtype=object, count=sum(map(len, tokens))))
+        n = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+        n_here = n[stretch] if len(stretch) else n
+        begins = np.cumsum(n) - n
+        at = np.arange(n_here.sum()) + np.repeat((begins[stretch] if len(stretch) else begins) - (np.cumsum(n_here) - n_here), n_here)
+        raw = inside[at]
+        self.page = np.repeat(np.repeat(np.arange(len(lists)), [len(x) for x in lists]), n_here)
         kind = np.fromiter((FIGURE if w in "={}\\" or w[0].isdigit() and "://" not in w and not w[-1].isalpha() else SIGN if w[0] == "#" or "." in w or "://" in w else WORD for w in names), dtype=np.int8, count=len(names))
         classed = [w if k == WORD else "#" if k == FIGURE else "<tag>" if w[0] == "#" else "<link>" for w, k in zip(names, kind)]
         to, self.names = pd.factorize(np.array(classed, dtype=object))
@@ -190,15 +198,9 @@ def score(pages: Pages, corpus: Counts, rules: Rules = Rules()) -> pd.DataFrame:
     return out
 
 
-def _counted(texts: pd.Series, step: int = 500) -> Counts:
-    """Counts of some pages, taken a few at a time so that few strings are held at once."""
-    found = [Pages(texts.iloc[k : k + step]).counts() for k in range(0, len(texts), step)]
-    return Counts(*(np.concatenate(x) for x in zip(*found))) if found else Counts(np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
 def _count_chunk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    counts = _counted(pdf["text"])
-    return pd.DataFrame({"key": counts.keys, "chunk": np.int64(key[0]), "n": counts.n})
+    keys, n = Pages(pdf["text"]).counts()
+    return pd.DataFrame({"key": keys, "chunk": np.int64(key[0]), "n": n})
 
 
 def page_scores(docs: DataFrame, *, rules: Rules = Rules(), chunk_chars: int = 2_000_000) -> DataFrame:
@@ -242,11 +244,11 @@ def page_scores(docs: DataFrame, *, rules: Rules = Rules(), chunk_chars: int = 2
     def judge(pdf: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
             return pd.DataFrame(columns=columns)
-        corpus = _counted(pdf["text"])
+        pages = Pages(pdf["text"])
+        corpus = Counts(*pages.counts())
         if len(totals):  # an empty side comes without its columns
             corpus = Counts(totals["key"].to_numpy(np.int64), totals["total"].to_numpy(np.int64)).over(corpus)
-        parts = [score(Pages(pdf["text"].iloc[k : k + 500]), corpus, rules).set_index(pdf.index[k : k + 500]) for k in range(0, len(pdf), 500)]
-        return pd.concat([pdf[["doc_id"]], pd.concat(parts)], axis=1)[pdf["doc_id"].notna()][columns]
+        return pd.concat([pdf[["doc_id"]], score(pages, corpus, rules).set_index(pdf.index)], axis=1)[pdf["doc_id"].notna()][columns]
 
     scored = placed.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(judge, "doc_id bigint, spam_share double, mean_pmi double, repeated double")
     best = scored.groupBy("doc_id").agg(F.max(F.struct("spam_share", "mean_pmi", "repeated")).alias("best"))

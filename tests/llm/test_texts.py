@@ -273,21 +273,15 @@ def test_nothing_is_told_without_the_statistics(value):
     assert f1(told) < 0.5 and f1(real) > 0.6
 
 
-def test_counts_of_chunks_add_up(spark):
+def test_counts_of_chunks_add_up():
     texts = [SENTENCES, SPAM[1], SPAM[2], None, ""] * 5
-    whole = spam._counted(np_series(texts))
-    parts = [spam._counted(np_series(texts[k : k + 7])) for k in range(0, 25, 7)]
+    whole = Counts(*Pages(texts).counts())
+    parts = [Counts(*Pages(texts[k : k + 7]).counts()) for k in range(0, 25, 7)]
     added = Counts(np.concatenate([p.keys for p in parts]), np.concatenate([p.n for p in parts]))
     assert np.array_equal(whole.keys, added.keys) and np.array_equal(whole.n, added.n)
     assert whole.of(np.array([spam.TOTAL])) == sum(len(page_tokens(t)) for t in texts if t)
 
 
-def np_series(texts):
-    import pandas as pd
-
-    return pd.Series(texts, dtype=object)
-
-
 def test_pmi_of_known_counts():
     pages = Pages(["a b"] * 30 + ["a c"] * 10 + ["d b"] * 10 + ["a b"])
     got = score(pages, Counts(*pages.counts()), Rules(rate=0, cap=9, reach=-9)).mean_pmi.to_numpy()
