@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from mixloom.llm.leaks import Items, align, align_many, best_chain, eval_leaks, leaked, pieces_of
+from mixloom.llm.leaks import Items, align, align_many, best_chain, eval_leaks, leaked, leaked_in, pieces_of
 from mixloom.llm.plaintext import words
 from mixloom.llm import spam
 from mixloom.llm.spam import Counts, Pages, Rules, page_scores, page_tokens, score, spam_pages
@@ -96,7 +96,7 @@ def test_leaks_of_nothing(spark):
 def test_an_item_copied_everywhere_is_still_found(spark):
     docs = spark.createDataFrame([(i, prose(i + 300, 20) + " " + ITEM, "c", "c") for i in range(60)], DOCS)
     items = spark.createDataFrame([(1, ITEM, "s", "c"), (2, prose(9), "s", "c")], ITEMS)
-    assert eval_leaks(docs, items, common_share=0.01).count() == 60
+    assert eval_leaks(docs, items).count() == 60
 
 
 def test_twins_and_shared_passages_copied_everywhere_are_still_found(spark):
@@ -116,14 +116,27 @@ def test_alignments_at_once_are_those_one_by_one():
 def test_long_text_with_a_late_leak():
     known = Items([(1, ITEM)])
     line = words(prose(3, 30_000) + " " + ITEM + " " + prose(4, 500))
-    assert [(k, n) for k, _, n in leaked(known, known.seeds, line, min_share=1 / 3, min_piece=8)] == [(0, 1)]
+    assert [(k, n) for k, _, n in leaked(known, line, min_share=1 / 3, min_piece=8)] == [(0, 1)]
+
+
+@pytest.mark.parametrize("every", [4, 3])
+def test_edits_leave_no_item_unfound(every):
+    rng = random.Random(3)
+    lines = [prose(600 + k, rng.randint(40, 150)).split() for k in range(40)]
+    known = Items([(k, " ".join(line)) for k, line in enumerate(lines)])
+    for line in lines:
+        for i in range(every - 1, len(line), every):
+            line[i] = prose(rng.randint(1000, 9999), 1)
+    got = {(a, k) for a, k, _, _ in leaked_in(known, lines, min_share=1 / 3, min_piece=8)}
+    assert got == {(k, k) for k in range(40)}
 
 
 def test_a_leak_with_every_third_word_broken_is_found():
     known = Items([(1, ITEM)])
     line = words(" ".join(w[:3] + "\n" + w[3:] if i % 3 == 0 and len(w) > 3 else w for i, w in enumerate(LINE)))
-    assert known.seeds.keys().isdisjoint(zip(*(line[i:] for i in range(4))))
-    assert [(k, share) for k, share, _ in leaked(known, known.seeds, line, min_share=1 / 3, min_piece=8)] == [(0, 1.0)]
+    fours = lambda x: set(zip(*(x[i:] for i in range(4))))
+    assert fours(LINE).isdisjoint(fours(line))
+    assert [(k, share) for k, share, _ in leaked(known, line, min_share=1 / 3, min_piece=8)] == [(0, 1.0)]
 
 
 RECIPE = """\
