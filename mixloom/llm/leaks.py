@@ -247,6 +247,7 @@ def candidates(items: Items, lines: list[list[str]], block: int, share: float =
     item, or its rare pairs do, of those that stand in clusters (``cluster`` within as many
     words as a shortest piece may take, about as far apart as in the item)."""
     coded = items.codes(lines)
+    sizes = np.array([len(x) for x in items.lines])
     gap = items.max_break + 2
     offsets = np.cumsum([0, *(len(c) + gap for c in coded)])
     code = np.full(offsets[-1], -1, dtype=np.int64)
@@ -268,15 +269,19 @@ def candidates(items: Items, lines: list[list[str]], block: int, share: float =
     line = np.searchsorted(offsets, place, side="right") - 1
     order = np.lexsort((place, item, line))
     place, item, i, w, paired, here, line = (x[order] for x in (place, item, i, w, paired, here, line))
-    edges = np.flatnonzero((np.diff(line) != 0) | (np.diff(item) != 0)) + 1
-    for lo, hi in zip(np.concatenate(([0], edges)).tolist(), np.concatenate((edges, [len(place)])).tolist()):
-        if hi == lo:
-            continue
+    if not len(place):
+        return
+    begins = np.concatenate(([0], np.flatnonzero((np.diff(line) != 0) | (np.diff(item) != 0)) + 1))
+    needed = np.maximum(GRAM, share * sizes[item[begins]])
+    # what the hits can cover at most, be it by 4-grams or by pairs in clusters
+    by_grams = np.add.reduceat(np.where(paired, 0, GRAM), begins)
+    n_pairs = np.add.reduceat(paired.astype(np.int64), begins)
+    by_pairs = np.where(n_pairs >= cluster, 2 * n_pairs, 0)
+    ends = np.append(begins[1:], len(place))
+    for g in np.flatnonzero((by_grams >= needed) | (by_grams + by_pairs >= needed)).tolist():
+        lo, hi, least = int(begins[g]), int(ends[g]), float(needed[g])
         k, d = int(item[lo]), int(line[lo])
         n = len(items.lines[k])
-        least = max(GRAM, share * n)
-        if min(n, int(w[lo:hi].sum())) < least:
-            continue
         grams = ~paired[lo:hi]
         covered = np.zeros(n, dtype=bool)
         for x in i[lo:hi][grams].tolist():
@@ -287,8 +292,7 @@ def candidates(items: Items, lines: list[list[str]], block: int, share: float =
             if 2 * len(p) < least:
                 continue
             p = p[_near(place[lo:hi][p], i[lo:hi][p], 14, 8, cluster)]
-            ends = np.concatenate((i[lo:hi][p], i[lo:hi][p] + w[lo:hi][p] - 1))
-            covered[ends] = True
+            covered[np.concatenate((i[lo:hi][p], i[lo:hi][p] + w[lo:hi][p] - 1))] = True
             if covered.sum() < least:
                 continue
             used = np.concatenate((np.flatnonzero(grams), p))
