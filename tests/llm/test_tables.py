@@ -146,15 +146,50 @@ def test_signed_deltas_equal_a_recount(spark, tmp_path):
     again.drop()
 
 
-def test_untouched_parts_keep_their_files(spark, tmp_path):
-    schema = "doc_id bigint, term string, n bigint, total double"
-    s = TM.TermCounts(spark, str(tmp_path / "s"), parts=8)
-    s.apply(added=spark.createDataFrame([(1, f"t{i}", 1, 1.0) for i in range(40)], schema))
-    before = s._manifest()["terms"]
-    s.apply(added=spark.createDataFrame([(2, "t0", 1, 1.0)], schema))
-    after = s._manifest()["terms"]
-    assert sum(before[k] != after[k] for k in before) == 1
+PAIRS = "doc_id bigint, term string, n bigint, total double"
+
 
+def files_of(folder):
+    return {str(f.relative_to(folder)) for f in folder.rglob("*.parquet")}
+
+
+def test_a_delta_is_appended_where_its_documents_are(spark, tmp_path):
+    s = TM.TermCounts(spark, str(tmp_path / "s"), parts=8)
+    s.apply(added=spark.createDataFrame([(d, f"t{i}", 1, 1.0) for i in range(5) for d in range(40)], PAIRS))
+    before = files_of(tmp_path / "s")
+    s.apply(added=spark.createDataFrame([(2, f"t{i}", 1, 1.0) for i in range(15)], PAIRS))
+    new = files_of(tmp_path / "s") - before
+    assert before <= files_of(tmp_path / "s")
+    assert len({f.split("part=")[1].split("/")[0] for f in new if f.startswith("pairs")}) == 1
+
+
+def test_a_failed_delta_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    state = TM.TermCounts(spark, str(tmp_path / "s"), parts=2)
+    state.apply(added=spark.createDataFrame([(1, "a", 2, 2.0), (2, "a", 1, 1.0)], PAIRS))
+    seen = lambda: {(r.term, r.total, r.n_docs) for r in TM.TermCounts(spark, str(tmp_path / "s")).terms().collect()}
+    change = {"added": spark.createDataFrame([(3, "b", 1, 4.0)], PAIRS), "removed": spark.createDataFrame([(1, "a", 2, 2.0)], PAIRS)}
+    for broken in ("_commit", "_write"):
+        def fail(*_):
+            raise OSError("lost")
+
+        with monkeypatch.context() as m:
+            m.setattr(TM.TermCounts, broken, fail)
+            with pytest.raises(OSError):
+                state.apply(**change)
+        assert seen() == {("a", 3.0, 2)}
+    (tmp_path / "s" / "new-2.json").write_text("{")  # written, not renamed
+    TM.TermCounts(spark, str(tmp_path / "s")).apply(**change)
+    assert seen() == {("a", 1.0, 1), ("b", 4.0, 1)}
+
+
+def test_old_versions_are_summed_up_and_removed(spark, tmp_path):
+    s = TM.TermCounts(spark, str(tmp_path / "s"), parts=2, compact_after=3, pairs_per_part=5)
+    for k in range(5):
+        s.apply(added=spark.createDataFrame([(k, f"t{i}", 1, 0.1) for i in range(4)], PAIRS))
+    s.apply(removed=spark.createDataFrame([(k, "t0", 1, 0.1) for k in range(5)], PAIRS))
+    assert {(r.term, r.total, r.n_docs) for r in s.terms().collect()} == {(f"t{i}", 0.5, 5) for i in range(1, 4)}
+    assert len(list((tmp_path / "s").glob("pairs/version=*"))) <= 4 and len(list((tmp_path / "s").glob("manifest-*.json"))) == 2
+    assert s.parts >= 4
 
 def test_sum_of_squares_places_everything():
     rng = np.random.default_rng(0)
