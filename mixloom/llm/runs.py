@@ -9,27 +9,25 @@ from mixloom.llm.events import events
 from mixloom.session import cut
 
 
-def _pieces(steps: DataFrame, dictionary: DataFrame, max_gap: int, block: int) -> DataFrame:
-    """Each block's runs: (seq_id, action, first, last, n, pointer, at_end); ``pointer`` is the
-    last step of the piece before the block that this piece continues, or null."""
+def _pieces(steps: DataFrame, dictionary: DataFrame, max_gap: int, block: int, piece: int) -> DataFrame:
+    """The pieces of runs within ``piece`` steps: (seq_id, action, first, last, n, pointer, goes_on).
+
+    ``pointer`` is the event before the piece that its first event continues, or null;
+    ``goes_on`` tells pieces that another may point to."""
     ev = events(steps, dictionary, block=block, halo=max_gap)
     order = Window.partitionBy("seq_id", "block").orderBy("tstep_id")
-    ev = ev.withColumn("prev", F.lag(F.struct("tstep_id", "action", "own")).over(order))
+    at = lambda c: F.floor(c / piece)
+    ev = ev.withColumn("prev", F.lag(F.struct("tstep_id", "action", "own")).over(order)).withColumn("next", F.lead(F.struct("tstep_id", "action")).over(order))
     linked = F.coalesce((F.col("prev.action") == F.col("action")) & (F.col("tstep_id") - F.col("prev.tstep_id") <= max_gap), F.lit(False))
-    ev = ev.withColumn("linked", linked).where("own")
-    opens = ~F.col("linked") | ~F.col("prev.own")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    ev = ev.withColumn("first", F.max(F.when(opens, F.col("tstep_id"))).over(upto))
-    ev = ev.withColumn("pointer_here", F.when(opens & F.col("linked"), F.col("prev.tstep_id")))
-    whole = Window.partitionBy("seq_id", "block")
-    ev = ev.withColumn("block_last", F.max("tstep_id").over(whole))
+    # the last event of a block may be continued in the next one
+    followed = F.col("next").isNull() | ((F.col("next.action") == F.col("action")) & (F.col("next.tstep_id") - F.col("tstep_id") <= max_gap))
+    ev = ev.select("*", linked.alias("linked"), (followed & (F.col("next").isNull() | (at(F.col("next.tstep_id")) != at(F.col("tstep_id"))))).alias("goes_on")).where("own")
+    opens = ~F.col("linked") | ~F.col("prev.own") | (at(F.col("prev.tstep_id")) != at(F.col("tstep_id")))
+    ev = ev.withColumn("first", F.max(F.when(opens, F.col("tstep_id"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ev = ev.withColumn("pointer", F.when(opens & F.col("linked"), F.col("prev.tstep_id")))
     return ev.groupBy("seq_id", "block", "first").agg(
-        F.min("action").alias("action"),
-        F.max("tstep_id").alias("last"),
-        F.count("*").alias("n"),
-        F.max("pointer_here").alias("pointer"),
-        (F.max("tstep_id") == F.max("block_last")).alias("at_end"),
-    )
+        F.min("action").alias("action"), F.max("tstep_id").alias("last"), F.count("*").alias("n"), F.max("pointer").alias("pointer"), F.max("goes_on").alias("goes_on")
+    )
 
 
 def run_starts(links: DataFrame) -> DataFrame:
@@ -49,7 +47,7 @@ def run_starts(links: DataFrame) -> DataFrame:
         links = links_next.withColumn("pointer", F.coalesce("_further", "pointer")).drop("_further")
 
 
-def collapse_runs(steps: DataFrame, dictionary: DataFrame, *, max_gap: int = 5, block: int = 512) -> DataFrame:
+def collapse_runs(steps: DataFrame, dictionary: DataFrame, *, max_gap: int = 5, block: int = 512, piece: int = 4) -> DataFrame:
     """Every run of consecutive events of one action as one row
     (seq_id, action_name, first_tstep_id, last_tstep_id, n_events, duration).
 
@@ -59,21 +57,22 @@ def collapse_runs(steps: DataFrame, dictionary: DataFrame, *, max_gap: int = 5,
     rows are treated, is said at ``events``. Empty tables give no rows; other columns are
     never read.
 
-    Steps are cut into blocks of ``block`` steps with a halo of ``max_gap``, so no task holds
-    a whole long sequence. Blocks collapse their runs in one window; only pieces that reach a
-    block's edge take part in the pointer doubling, and only runs that cross an edge in its
-    joins.
+    Steps are placed in blocks of ``block`` steps with a halo of ``max_gap``, so no task holds
+    a whole long sequence, and there each event learns the one before it. Linked events within
+    ``piece`` steps are taken together before anything is joined (1: no two events are); every
+    other link is a pointer from a piece to the last event of the piece before it, and
+    pointer doubling (``run_starts``) finds the run's first piece for all of them.
     """
     if block <= max_gap:
         raise ValueError("block must be larger than max_gap")
-    pieces = cut(_pieces(steps, dictionary, max_gap, block))
+    pieces = cut(_pieces(steps, dictionary, max_gap, block, piece))
     out = ["seq_id", "action", "first", "last", "n"]
-    inside = pieces.where("pointer IS NULL AND NOT at_end").select(*out)
-    heads = pieces.where("pointer IS NULL AND at_end").select("seq_id", F.col("last").alias("head"), "action", "first", "last", "n")
+    alone = pieces.where("pointer IS NULL AND NOT goes_on").select(*out)
+    heads = pieces.where("pointer IS NULL AND goes_on").select("seq_id", F.col("last").alias("head"), "action", "first", "last", "n")
     tails = run_starts(pieces.where("pointer IS NOT NULL").select("seq_id", "last", "pointer", "action", "first", "n"))
     tails = tails.select("seq_id", F.col("pointer").alias("head"), "action", "first", "last", "n")
     across = heads.unionByName(tails).groupBy("seq_id", "head").agg(F.min("action").alias("action"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
-    return inside.unionByName(across.select(*out)).select(
+    return alone.unionByName(across.select(*out)).select(
         "seq_id",
         F.col("action").alias("action_name"),
         F.col("first").alias("first_tstep_id"),

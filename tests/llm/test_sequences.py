@@ -76,12 +76,12 @@ def brute_runs(rows, gap=5):
     return out
 
 
-@pytest.mark.parametrize("seed,block", [(0, 6), (1, 8), (2, 512)])
-def test_runs_against_brute_force(spark, names, seed, block):
+@pytest.mark.parametrize("seed,block,piece", [(0, 6, 4), (1, 8, 1), (2, 512, 1), (3, 512, 4)])
+def test_runs_against_brute_force(spark, names, seed, block, piece):
     rng = random.Random(seed)
     rows = random_steps(rng, 12, 40, hot=400)
     rows += [(77, t, "BoxLift", T0) for t in range(150)]  # one run over many blocks
-    got = {tuple(r) for r in collapse_runs(table(spark, rows + rows[:30]), names, block=block).collect()}
+    got = {tuple(r) for r in collapse_runs(table(spark, rows + rows[:30]), names, block=block, piece=piece).collect()}
     assert got == brute_runs(rows)
 
 
