@@ -160,15 +160,18 @@ def action_lists(steps: DataFrame, dictionary: DataFrame, *, tail: int, block: i
     """
     ev = events(steps, dictionary, block=block)
     parts = ev.groupBy("seq_id", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("tstep_id", "action"))), lambda e: e["action"]).alias("all"))
-    parts = parts.withColumn("items", F.filter("all", lambda x, i: (i == 0) | (x != F.get("all", i - 1))))
+    parts = cut(parts.select("seq_id", "block", F.filter("all", lambda x, i: (i == 0) | (x != F.get("all", i - 1))).alias("items")))
+    # what a part shows its neighbours: a few items, so a window over a huge sequence holds little of it
+    edge = parts.select("seq_id", "block", F.element_at("items", -1).alias("end"), F.slice("items", 1, tail + 1).alias("head"), F.size("items").alias("size"))
     order = Window.partitionBy("seq_id").orderBy("block")
-    before = F.lag(F.element_at("items", -1)).over(order)
-    parts = parts.withColumn("before", before)
-    rest = F.when(F.get("items", F.lit(0)) == F.col("before"), F.slice("items", 2, block)).otherwise(F.col("items"))
-    parts = parts.select("seq_id", "block", rest.alias("items")).where(F.size("items") > 0)
-    heads = F.collect_list(F.slice("items", 1, tail)).over(order.rowsBetween(1, tail))
+    edge = edge.withColumn("before", F.lag("end").over(order))
+    opens = F.get("head", F.lit(0)) == F.col("before")  # the first item goes on from the part before
+    edge = edge.withColumn("skip", F.when(opens, 1).otherwise(0)).where("size > skip")
+    edge = edge.withColumn("head", F.slice("head", F.col("skip") + 1, F.lit(tail)))
+    heads = F.collect_list("head").over(order.rowsBetween(1, tail))
     more = F.count("*").over(Window.partitionBy("seq_id")) > 1
-    parts = parts.select("seq_id", "block", "items", F.slice(F.flatten(heads), 1, tail).alias("tail"), more.alias("split"))
+    edge = edge.select("seq_id", "block", "skip", F.slice(F.flatten(heads), 1, tail).alias("tail"), more.alias("split"))
+    parts = parts.join(edge, ["seq_id", "block"]).select("seq_id", "block", F.slice("items", F.col("skip") + 1, F.size("items")).alias("items"), "tail", "split")
     only_proper = lambda c: F.transform(c, lambda x: F.when(is_proper(x), x))
     return parts.withColumns({"items": only_proper("items"), "tail": only_proper("tail")})
 
@@ -196,13 +199,15 @@ def frequent_subsequences(
     ``max_patterns`` (else an error; the dictionary bounds them too), go to the tasks of the
     next. Each task compresses its sequences into one diagram graph (``Diagrams``) and counts
     in it; counts are added per pattern. Sequences of several parts are counted through
-    distinct (pattern, sequence) pairs, so a huge sequence is spread over many tasks.
+    distinct (pattern, sequence) pairs. Parts meet their neighbours in a window over a few items
+    of each, and are mined where (sequence, block) puts them, so a huge sequence is spread over
+    many tasks.
 
     Empty tables, or no event at all, give no rows; nulls, ties and repeated rows are treated
     as said at ``events``; other columns are never read.
     """
     longest = max(lengths)
-    lists = spread(action_lists(steps, dictionary, tail=(longest - 1) * (max_between + 1), block=block))
+    lists = spread(action_lists(steps, dictionary, tail=(longest - 1) * (max_between + 1), block=block), "seq_id", "block")
     n = lists.agg(F.count_distinct("seq_id")).first()[0]
     least = max(1, math.ceil(min_share * n - 1e-9))
     allowed, out = None, None
