@@ -54,7 +54,7 @@ def pack(items: DataFrame, *, capacity: int, items_per_task: int = 200_000, full
     Items are dealt by hash into shards of about ``items_per_task``; each shard is packed by
     ``sum_of_squares``, largest first. Windows filled to less than ``full`` of the capacity
     are items of the next level, packed over all shards in the same way, until one shard is
-    left; so what a shard leaves open is filled up from the others.
+    left or a level puts no two of them together; so what a shard leaves open is filled up from the others.
     """
     level, names, depth = items.select("item", "size"), None, 0
     while True:
@@ -71,7 +71,8 @@ def pack(items: DataFrame, *, capacity: int, items_per_task: int = 200_000, full
         sharded = level.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)))
         placed = cut(sharded.groupBy("shard").applyInPandas(one, "item string, window string, fill bigint"))
         names = placed if names is None else names.join(placed.select(F.col("item").alias("window"), F.col("window").alias("upper")), "window", "left").select("item", F.coalesce("upper", "window").alias("window"))
-        if shards == 1 or depth > 8:
+        combined = shards > 1 and placed.agg(F.count_distinct("window")).first()[0] < n
+        if not combined:
             return names.select("item", "window")
         level = placed.where(F.col("fill") < full * capacity).select(F.col("window").alias("item"), F.col("fill").alias("size")).distinct()
         depth += 1

@@ -41,7 +41,8 @@ def connected_components(edges: DataFrame, *, edges_per_task: int = 1_000_000, f
     """(node, component) for every node of ``edges`` (a BIGINT, b BIGINT) with a neighbour;
     ``component`` is the smallest node that is connected with it.
 
-    Each task runs union-find over its edges and keeps a forest of (node, local root), so of
+    Each task runs union-find over its edges (dealt by a hash of both ends, so those of a hub
+    are spread) and keeps a forest of (node, local root), so of
     any number of edges one per node and task is left. Forests are merged in ``fan_in`` times
     fewer tasks per round. As long as there are more than ``edges_per_task`` edges for one
     task, a round also merges trees across tasks: nodes toss a coin (a hash of node and
@@ -56,7 +57,7 @@ def connected_components(edges: DataFrame, *, edges_per_task: int = 1_000_000, f
     settled, round_ = [], 0
     tasks = max(1, -(-rest.count() // edges_per_task))
     while True:
-        forest = cut(rest.repartition(tasks, "b").mapInPandas(_local_forest, "node bigint, root bigint"))
+        forest = cut(rest.repartition(tasks, "a", "b").mapInPandas(_local_forest, "node bigint, root bigint"))
         if tasks == 1:
             known = forest.select("node", F.col("root").alias("component"))
             break
