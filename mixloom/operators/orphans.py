@@ -6,7 +6,8 @@ third of all rows costs one row per period. A blocked Bloom filter of the
 parents' keys, held as a broadcast table of 64-bit words of bounded size, proves
 most missing keys; only groups that pass it are joined exactly. Rows are looked
 at again only for groups whose first and last row are live while a gap in the
-record's life lies between them.
+record's life lies between them, and pass a second filter of those groups before
+they are shuffled.
 """
 
 from __future__ import annotations
@@ -176,7 +177,12 @@ def orphan_references(
     near = cut(near.withColumn("sure", at_end("first_at") | at_end("last_at")))
     sure = near.where("sure").select(*group).distinct()
     unsure = near.where(~F.col("sure")).join(sure.select("table_name", "period", "key"), group, "left_anti").select(*group, "since", "until")
-    within = rows.join(unsure, group).where((F.col("at") >= F.col("since")) & (F.col("at") < F.col("until"))).select(*group).distinct()
+    # rows meet the few groups in question only behind a filter of them, so the rest is not shuffled again
+    unsure = cut(unsure)
+    number = F.xxhash64(*group)
+    few, n_few = bloom_words(unsure.select(number.alias("group")), "group", max_words=max_words)
+    asked = with_bloom_test(rows.withColumn("group", number), "group", few, n_few).where("maybe_parent").drop("group", "maybe_parent")
+    within = asked.join(unsure, group).where((F.col("at") >= F.col("since")) & (F.col("at") < F.col("until"))).select(*group).distinct()
     gone = sure.unionByName(within).withColumn("kind", F.lit("deleted"))
 
     found = proven.unionByName(wrong).unionByName(late).unionByName(gone)
