@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,36 +103,43 @@ def within_budget(plan: DataFrame, tier: str, size: str, most: int) -> DataFrame
     return plan.withColumn("_run", F.sum(size).over(Window.orderBy(tier).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_run") <= most).drop("_run")
 
 
-def heldout_sizes(n_seen: int, vocab: int, *, share: float = 0.2, ratio: float = 1 / 9, least: int = 10) -> tuple[int, int, int]:
-    """(train seen, held-out seen, held-out unseen) numbers of words of one document.
+def heldout_plan(n_seen: Column, vocab: int, *, share: float = 0.2, ratio: float = 1 / 9, least: int = 10) -> Column:
+    """STRUCT (train, seen, unseen): how many of a document's words to train on, and how many seen
+    and unseen ones to hold out.
 
-    About ``share`` of the seen words and 1 / ``ratio`` times as many unseen ones are held out;
-    with too few unseen words the held-out part shrinks, down to ``least`` seen words."""
-    if n_seen < 2 * least:
-        raise ValueError("too few seen words")
-    seen = max(least, math.ceil(share * n_seen))
-    train = n_seen - seen
-    while math.ceil(seen / ratio) > vocab - n_seen and seen > least:
-        seen -= 1
-    unseen = math.ceil(seen / ratio)
-    if unseen > vocab - n_seen:
-        raise ValueError("too few unseen words for the wanted ratio")
-    return train, seen, unseen
+    Wanted are ``share`` of the seen words; the unseen words that there are allow ``ratio`` of
+    their number. The smaller of both is held out, with 1 / ``ratio`` unseen words each. All
+    wanted words leave the training part even where fewer are used. Less than ``least`` words on
+    either side is an error."""
+    wanted = F.greatest(F.ceil(n_seen * share), F.lit(least))
+    allowed = F.floor((F.lit(vocab) - n_seen) * ratio + 1e-9)
+    seen = F.least(wanted, allowed)
+    why = F.when(n_seen < 2 * least, "too few seen words").when(allowed < least, "too few unseen words for the wanted ratio")
+    checked = F.when(why.isNull(), seen).otherwise(F.raise_error(why).cast("bigint"))
+    return F.struct((n_seen - wanted).cast("int").alias("train"), checked.cast("int").alias("seen"), F.ceil(checked / ratio - 1e-9).cast("int").alias("unseen"))
 
 
 def vocab_split(bag: DataFrame, vocab: DataFrame, **sizes) -> DataFrame:
-    """(doc_id, word, part) with part train_seen, heldout_seen, heldout_unseen or train_unseen, for the
-    documents of a small ``bag`` (each meets the whole vocabulary); words are drawn by hash."""
-    n_vocab = vocab.count()
-    plan = F.udf(lambda n: list(heldout_sizes(n, n_vocab, **sizes)), "array<int>")
-    docs = bag.groupBy("doc_id").agg(F.count_distinct("word").alias("n")).withColumn("p", plan("n"))
-    every = docs.join(vocab.select("word")).join(bag.select("doc_id", "word").distinct().withColumn("seen", F.lit(True)), ["doc_id", "word"], "left")
-    every = every.withColumn("seen", F.coalesce("seen", F.lit(False)))
-    rank = F.row_number().over(Window.partitionBy("doc_id", "seen").orderBy(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "word")), "word"))
-    p = F.col("p")
-    seen = F.when(rank <= p[0], "train_seen").when(rank <= p[0] + p[1], "heldout_seen").otherwise("spare_seen")
-    unseen = F.when(rank <= p[2], "heldout_unseen").otherwise("train_unseen")
-    return every.withColumn("part", F.when(F.col("seen"), seen).otherwise(unseen)).select("doc_id", "word", "part")
+    """(doc_id, word, part) with part train_seen, heldout_seen, spare_seen or heldout_unseen; words are
+    drawn by hash. The rest of the vocabulary, unseen and in training, has no rows.
+
+    A document meets a stretch of the vocabulary (in the order of a hash, from a place of its
+    own) that is as long as its seen and held-out words together, which is enough whatever it holds."""
+    words = vocab.select("word").distinct()
+    n_vocab = words.count()
+    own = bag.select("doc_id", "word").distinct()
+    plan = own.groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("p", heldout_plan(F.col("n"), n_vocab, **sizes))
+    by_hash = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "word")), "word"))
+    part = F.when(by_hash <= F.col("p.train"), "train_seen").when(by_hash <= F.col("p.train") + F.col("p.seen"), "heldout_seen").otherwise("spare_seen")
+    seen = own.join(plan, "doc_id").select("doc_id", "word", part.alias("part"))
+    ordered = words.withColumn("place", F.row_number().over(Window.orderBy(F.md5("word"), "word")) - 1)
+    begin = F.pmod(F.xxhash64("doc_id"), F.lit(n_vocab))
+    reach = F.least(F.col("n") + F.col("p.unseen"), F.lit(n_vocab)) - 1
+    asked = plan.select("doc_id", "p", begin.alias("begin"), F.explode(F.sequence(F.lit(0).cast("bigint"), reach.cast("bigint"))).alias("step"))
+    asked = asked.withColumn("place", F.pmod(F.col("begin") + F.col("step"), F.lit(n_vocab))).join(ordered, "place").join(own, ["doc_id", "word"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("step"))
+    unseen = asked.withColumn("_r", rank).where(F.col("_r") <= F.col("p.unseen")).select("doc_id", "word", F.lit("heldout_unseen").alias("part"))
+    return seen.unionByName(unseen)
 
 
 def misaligned(pairs: DataFrame, true: str, found: str) -> DataFrame:

@@ -39,18 +39,24 @@ def test_adjacency(spark):
     assert {r.src: r["values"] for r in S.adjacency(e, [0, 1]).collect()} == {0: [None, 2.0], 1: [3.0, None]}
 
 
-def test_heldout_sizes():
-    assert S.heldout_sizes(100, 1000, share=0.2, ratio=0.1) == (80, 20, 200)
-    assert S.heldout_sizes(100, 213, share=0.2, ratio=0.1) == (80, 11, 110)
-    with pytest.raises(ValueError):
-        S.heldout_sizes(100, 111, share=0.2, ratio=0.1)
+@pytest.mark.parametrize("n_seen,vocab,want", [(100, 1000, (80, 20, 200)), (100, 213, (80, 11, 110)), (30, 1000, (20, 10, 100)), (100, 111, None), (19, 1000, None)])
+def test_heldout_plan(spark, n_seen, vocab, want):
+    df = spark.createDataFrame([(n_seen,)], "n bigint").select(S.heldout_plan(F.col("n"), vocab, share=0.2, ratio=0.1).alias("p"))
+    if want is None:
+        with pytest.raises(Exception, match="too few"):
+            df.collect()
+    else:
+        assert tuple(df.first()["p"]) == want
 
 
 def test_vocab_split(spark):
     vocab = spark.range(300).select(F.col("id").cast("string").alias("word"))
-    bag = vocab.limit(40).withColumn("doc_id", F.lit(1).cast("bigint"))
-    n = {r.part: r["count"] for r in S.vocab_split(bag, vocab).groupBy("part").count().collect()}
-    assert n == {"train_seen": 30, "heldout_seen": 10, "heldout_unseen": 90, "train_unseen": 170}
+    bag = vocab.limit(40).withColumn("doc_id", F.lit(1).cast("bigint")).unionByName(vocab.where("word >= '2'").limit(60).withColumn("doc_id", F.lit(2).cast("bigint")))
+    parts = S.vocab_split(bag, vocab)
+    n = {(r.doc_id, r.part): r["count"] for r in parts.groupBy("doc_id", "part").count().collect()}
+    assert n == {(1, "train_seen"): 30, (1, "heldout_seen"): 10, (1, "heldout_unseen"): 90, (2, "train_seen"): 48, (2, "heldout_seen"): 12, (2, "heldout_unseen"): 108}
+    assert parts.select("doc_id", "word").distinct().count() == parts.count()
+    assert parts.where("part = 'heldout_unseen'").join(bag, ["doc_id", "word"], "left_semi").count() == 0
 
 
 def test_sparse_documents_in_mixtures(spark):
