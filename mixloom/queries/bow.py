@@ -150,7 +150,7 @@ SQL = {
     "q_doc_topic_loglik": _L + f", t AS (SELECT lang, sum(word_count) + any_value(n) * {LAM} AS total FROM c, v GROUP BY lang), docs AS (SELECT doc_id, word, sum(word_count) AS ct FROM bag GROUP BY ALL) SELECT doc_id, t.lang, round(sum(ct * ({digamma_sql(f'coalesce(c.word_count, 0) + {LAM}')} - {digamma_sql('t.total')})), 3) AS loglik FROM docs CROSS JOIN t LEFT JOIN c ON c.lang = t.lang AND c.word = docs.word GROUP BY doc_id, t.lang",
     "q_merge_gap_mult": _L + f", p AS (SELECT a.lang AS topic_a, b.lang AS topic_b FROM (SELECT DISTINCT lang FROM c) a, (SELECT DISTINCT lang FROM c) b WHERE a.lang < b.lang), words AS (SELECT DISTINCT word FROM bag), full_ AS (SELECT p.*, w.word, coalesce(ca.word_count, 0) AS na, coalesce(cb.word_count, 0) AS nb FROM p CROSS JOIN words w LEFT JOIN c ca ON ca.lang = topic_a AND ca.word = w.word LEFT JOIN c cb ON cb.lang = topic_b AND cb.word = w.word) SELECT topic_a, topic_b, round((lgamma(sum(na + {LAM})) - sum(lgamma(na + {LAM}))) + (lgamma(sum(nb + {LAM})) - sum(lgamma(nb + {LAM}))) - (lgamma(count(*) * {LAM}) - count(*) * lgamma({LAM})) - (lgamma(sum(na + nb + {LAM})) - sum(lgamma(na + nb + {LAM}))), 3) AS gap FROM full_ GROUP BY ALL",
     "q_unseen_vocab_counts": _W + "SELECT doc_id, (SELECT count(DISTINCT word) FROM bag) - count(*) AS n_unseen FROM bag GROUP BY doc_id",
-    "q_word_cooccur": _W + ", k AS (SELECT word FROM bag GROUP BY word HAVING count(*) >= greatest(2, (SELECT count(DISTINCT doc_id) FROM bag) // 20)), o AS (SELECT * FROM bag WHERE word IN (SELECT word FROM k)) SELECT a.word AS word_a, b.word AS word_b, count(*) AS n_docs, sum(a.word_count * b.word_count) AS product FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.word < b.word GROUP BY ALL",
+    "q_word_cooccur": _W + "SELECT a.word AS word_a, b.word AS word_b, count(*) AS n_docs, sum(a.word_count * b.word_count) AS product FROM bag a JOIN bag b ON a.doc_id = b.doc_id AND a.word < b.word GROUP BY ALL",
     "q_doc_usage": _L + ", home AS (SELECT word, lang AS topic FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY word_count DESC, lang) AS k FROM c) WHERE k = 1), m AS (SELECT doc_id, topic, sum(word_count) AS mass FROM bag JOIN home USING (word) WHERE lang IS NOT NULL GROUP BY ALL), s AS (SELECT topic, mass / sum(mass) OVER (PARTITION BY doc_id) AS share FROM m) SELECT topic, count(*) FILTER (WHERE share > 0.01) AS n_docs FROM s GROUP BY topic",
     "q_doc_token_split": _W + "SELECT doc_id, CASE WHEN md5(doc_id || '|' || word)[1] IN ('0', '1', '2', '3') THEN 'heldout' ELSE 'train' END AS part, count(*) AS n_unique, sum(word_count) AS n_tokens FROM bag GROUP BY ALL",
     "q_bern_suffstats": _L + ", n AS (SELECT lang, count(DISTINCT doc_id) AS n FROM bag WHERE lang IS NOT NULL GROUP BY lang), h AS (SELECT lang, word, count(*) AS count1 FROM bag WHERE lang IS NOT NULL GROUP BY ALL) SELECT lang, word, count1, n - count1 AS count0 FROM h JOIN n USING (lang)",

@@ -124,7 +124,7 @@ _REG_CELLS = [("xx", i, j, f"{p} * {q}") for i, p in enumerate("abc") for j, q i
 
 SQL = {
     "q_diag_suffstats": _E + " SELECT label, dim, n, round(sx, 6) AS sx, round(sxx, 6) AS sxx FROM s",
-    "q_gauss_full_suffstats": _E + " SELECT a.label, a.dim AS i, b.dim AS j, count(*) AS n, round(sum(a.v * b.v), 6) AS sxx FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.dim <= b.dim WHERE b.dim < 4 AND a.label IS NOT NULL GROUP BY ALL",
+    "q_gauss_full_suffstats": _E + " SELECT a.label, a.dim AS i, b.dim AS j, count(*) AS n, round(sum(a.v * b.v), 6) AS sxx FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.dim <= b.dim WHERE a.label IS NOT NULL GROUP BY ALL",
     "q_diag_posterior": _P + " SELECT label, dim, nu, round(kappa, 6) AS kappa, round(m, 6) AS m, round(beta, 6) AS beta FROM p",
     "q_diag_score": _SC + " SELECT vec_id, label, round(score, 4) AS score FROM sc",
     "q_diag_resp": _SC + " SELECT vec_id, label, round(resp, 6) AS resp FROM r",
