@@ -195,10 +195,8 @@ def fit_hmm(seqs: DataFrame, model: HMM, k: int, *, alg: str = "vb", laps: int =
     return result
 
 
-def decode(seqs: DataFrame, model: HMM, params: dict) -> DataFrame:
-    """(seq_id, pos, state): the most probable path of each sequence."""
-    log_start, log_trans = model.log_weights(params)
-    post, obs = model.obs.post(params["obs"]), model.obs
+def _per_sequence(seqs: DataFrame, score, columns: str, of) -> DataFrame:
+    """(seq_id, pos, ...) from ``of(scores)``, which gives one array per further column."""
     cols = [c for c in ("x", "xprev") if c in seqs.columns]
 
     def step(records):
@@ -208,8 +206,23 @@ def decode(seqs: DataFrame, model: HMM, params: dict) -> DataFrame:
             values = [r.column(c).to_pylist() for c in cols]
             for seq, n, *arrays in zip(r.column("seq_id").to_pylist(), r.column("n").to_pylist(), *values):
                 if n:
-                    batch = {c: np.asarray(a, float).reshape(n, -1) for c, a in zip(cols, arrays)}
-                    path = viterbi(log_start, log_trans, obs.score(batch, post))
-                    yield pa.RecordBatch.from_pydict({"seq_id": pa.array([seq] * n, pa.int64()), "pos": pa.array(range(n), pa.int32()), "state": pa.array(path.astype(np.int32))})
+                    found = of(score({c: np.asarray(a, float).reshape(n, -1) for c, a in zip(cols, arrays)}))
+                    yield pa.RecordBatch.from_pydict({"seq_id": pa.array([seq] * n, pa.int64()), "pos": pa.array(range(n), pa.int32())} | {k: pa.array(list(v)) for k, v in found.items()})
+
+    return seqs.select(F.col("seq_id").cast("bigint"), "n", *cols).mapInArrow(step, f"seq_id bigint, pos int, {columns}")
+
+
+def paths(seqs: DataFrame, log_start: np.ndarray, log_trans: np.ndarray, score) -> DataFrame:
+    """(seq_id, pos, state): the most probable path of each sequence; ``score`` gives the log likelihoods of a batch."""
+    return _per_sequence(seqs, score, "state int", lambda s: {"state": viterbi(log_start, log_trans, s).astype(np.int32)})
 
-    return seqs.select(F.col("seq_id").cast("bigint"), "n", *cols).mapInArrow(step, "seq_id bigint, pos int, state int")
+
+def posteriors(seqs: DataFrame, log_start: np.ndarray, log_trans: np.ndarray, score) -> DataFrame:
+    """(seq_id, pos, resp ARRAY): the probability of each state at each step."""
+    return _per_sequence(seqs, score, "resp array<double>", lambda s: {"resp": forward_backward(log_start, log_trans, s)[0]})
+
+
+def decode(seqs: DataFrame, model: HMM, params: dict) -> DataFrame:
+    """(seq_id, pos, state): the most probable path of each sequence."""
+    post, obs = model.obs.post(params["obs"]), model.obs
+    return paths(seqs, *model.log_weights(params), lambda batch: obs.score(batch, post))

@@ -8,6 +8,7 @@ the total is exact whatever the order of batches: total = total - old batch + ne
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -30,6 +31,8 @@ class Event:
     k: int
     stats: dict
     params: dict
+    uids: list[int] = field(default_factory=list)
+    seconds: float = 0.0
 
 
 @dataclass
@@ -40,6 +43,7 @@ class FitResult:
     moves: list[dict] = field(default_factory=list)
     uids: list[int] = field(default_factory=list)
     converged: bool = False
+    began: float = field(default_factory=time.monotonic)
 
     @property
     def losses(self) -> list[float]:
@@ -104,8 +108,15 @@ def init_stats(df: DataFrame, key: str, model: Mixture, k: int, *, seed: int = 0
     """First statistics from data: ``randexamples`` (k random rows as single-row components),
     ``randexamplesbydist`` (rows drawn with chance proportional to the squared distance to
     those drawn before), ``kmeans`` (the latter, then Lloyd steps), ``bregman`` (drawn and
-    refined by the likelihood's own divergence), ``contigblocks`` (k even stretches by key)."""
+    refined by the likelihood's own divergence), ``contigblocks`` (k even stretches by key),
+    ``truth`` (column ``label`` of 0 to k - 1; rows without one are left out), ``resp`` (column
+    ``resp``, k responsibilities a row)."""
     cols = batch_columns(df)
+    if how == "truth":
+        known = df.where(F.col("label").between(0, k - 1))
+        return _stats_by_label(known.withColumn("_z", F.col("label")), cols, model, k) | {"n": np.array([float(known.count())])}
+    if how == "resp":
+        return _stats_by_resp(df, cols, model, k) | {"n": np.array([float(df.count())])}
     if how == "contigblocks":
         n = df.count()
         first = df.select(key).orderBy(key)
@@ -159,6 +170,15 @@ def _stats_by_label(df, cols, model, k):
     return summed(df.select(*cols, F.col("_z").cast("double").alias("_z")), step)
 
 
+def _stats_by_resp(df, cols, model, k):
+    def step(records):
+        for r, b in batches_of(records, cols, model):
+            resp = column_matrix(r, "resp").reshape(-1, k)
+            yield model.obs.stats(b, resp) | {"entropy": -(resp * np.log(np.maximum(resp, 1e-300))).sum(0)}
+
+    return summed(df.select(*cols, F.col("resp").cast("array<double>").alias("resp")), step)
+
+
 def _weighted_draw(df, key, cols, model, weight_of, seed):
     """One row with chance proportional to its weight: the smallest -ln(u) / weight over all rows."""
 
@@ -183,10 +203,13 @@ def _weighted_draw(df, key, cols, model, weight_of, seed):
     return None if found is None else df.where(F.col(key) == found["k"]).first()
 
 
-def _trace(result, lap, loss, stats, callbacks, params, moment="lap"):
-    result.trace.append({"lap": lap, "loss": float(loss), "k": len(stats["N"])})
+def _trace(result, lap, loss, stats, callbacks, params, moment="lap", uids=None):
+    """Notes a step (lap, loss, k, seconds since the start, rows behind the statistics) and calls the callbacks."""
+    uids, seconds = list(result.uids if uids is None else uids), time.monotonic() - result.began
+    rows = float(stats["n"][0]) if "n" in stats else float(np.sum(stats["N"]))
+    result.trace.append({"lap": lap, "loss": float(loss), "k": len(stats["N"]), "seconds": seconds, "rows": rows})
     for c in callbacks:
-        c(Event(moment, lap, loss, len(stats["N"]), stats, params))
+        c(Event(moment, lap, loss, len(stats["N"]), stats, params, uids, seconds))
 
 
 def should_save(lap: float, n_steps: int, *, every: float = 5, early: float = 0) -> bool:
@@ -195,10 +218,11 @@ def should_save(lap: float, n_steps: int, *, every: float = 5, early: float = 0)
     return n_steps < 3 or (whole and (lap in (1, 2, 4, 8) or lap <= early or lap % every == 0))
 
 
-def fit_em(df: DataFrame, key: str, model: Mixture, k: int, *, laps: int = 10, tol: float = 1e-4, seed: int = 0, how: str = "randexamples", callbacks=()) -> FitResult:
+def fit_em(df: DataFrame, key: str, model: Mixture, k: int, *, laps: int = 10, tol: float = 1e-4, seed: int = 0, how: str = "randexamples", stats: dict | None = None, callbacks=()) -> FitResult:
     """Expectation maximisation; the loss of a lap is that of the parameters it began with."""
-    stats = init_stats(df, key, model, k, seed=seed, how=how)
-    stats = one_pass(df, model.scorer(model.global_step(stats)), model)  # single rows have no spread to start from
+    stats = stats or init_stats(df, key, model, k, seed=seed, how=how)
+    if how not in ("truth", "resp"):
+        stats = one_pass(df, model.scorer(model.global_step(stats)), model)  # single rows have no spread to start from
     params, result = model.em_step(stats), FitResult({}, {}, uids=list(range(len(stats["N"]))))
     for lap in range(1, laps + 1):
         stats = one_pass(df, model.em_scorer(params), model)
@@ -236,9 +260,9 @@ def batch_order(n_batches: int, lap: int, seed: int) -> np.ndarray:
     return np.random.RandomState((seed + lap) % (1 << 31)).permutation(n_batches)
 
 
-def fit_sovb(df: DataFrame, key: str, model: Mixture, k: int, *, n_batches: int = 10, laps: int = 1, seed: int = 0, how: str = "randexamples", delay: float = 1.0, power: float = 0.5, callbacks=()) -> FitResult:
+def fit_sovb(df: DataFrame, key: str, model: Mixture, k: int, *, n_batches: int = 10, laps: int = 1, seed: int = 0, how: str = "randexamples", delay: float = 1.0, power: float = 0.5, stats: dict | None = None, callbacks=()) -> FitResult:
     """Stochastic VB: each batch's statistics, amplified to the whole, move the natural parameters."""
-    stats0 = init_stats(df, key, model, k, seed=seed, how=how)
+    stats0 = stats or init_stats(df, key, model, k, seed=seed, how=how)
     sizes = {r["batch_id"]: r["count"] for r in df.groupBy("batch_id").count().collect()}
     total, params = sum(sizes.values()), model.global_step(stats0)
     result, step = FitResult({}, {}, uids=list(range(len(stats0["N"])))), 0
@@ -351,12 +375,12 @@ def fit_memovb(df: DataFrame, key: str, model: Mixture, k: int, *, n_batches: in
             total = memo.total() if plan == [] else {k2: v for k2, v in _sum_blocks(memo.blocks).items()}
             params = model.global_step(total)
             if len(memo.blocks) == n_batches or done == n_batches:
-                _trace(result, lap - 1 + done / n_batches, -model.objective(total) / model.scale(n_total), total, callbacks, params, "batch")
+                _trace(result, lap - 1 + done / n_batches, -model.objective(total) / model.scale(n_total), total, callbacks, params, "batch", memo.uids)
         moved = _after_lap(df, key, model, memo, plan, moves, lap, seed, result, tried, n_total)
         if moved:
             total = _sum_blocks(memo.blocks)
             params = model.global_step(total)
-            _trace(result, lap, -model.objective(total) / model.scale(n_total), total, callbacks, params, "moves")
+            _trace(result, lap, -model.objective(total) / model.scale(n_total), total, callbacks, params, "moves", memo.uids)
         if not moved and lap > 1 and change < tol:
             result.converged = True
             break
@@ -383,7 +407,7 @@ def _after_lap(df, key, model, memo, plan, moves, lap, seed, result, tried, n_to
     if moves.birth and len(memo.uids) < moves.k_max:
         moved |= _birth(df, key, model, memo, moves, lap, seed, log)
     if moves.delete and lap >= moves.start_lap and len(memo.uids) > 1:
-        moved |= _delete(df, model, memo, moves, log)
+        moved |= _delete(df, model, memo, moves, log, lap, tried)
     if plan and not moved:
         taken: set[int] = set()
         uids = list(memo.uids)
@@ -432,13 +456,22 @@ def _rescored(df, model, params, memo) -> dict[int, dict]:
     return out
 
 
-def _delete(df, model, memo, moves, log) -> bool:
-    """Removes the largest component within the size limit if the rest explains its rows better."""
+def delete_target(sizes, most: float, barred=()) -> int | None:
+    """The largest component of at most ``most``, the first of equal ones; None if there is none."""
+    fits = [(float(n), -i) for i, n in enumerate(sizes) if n <= most and i not in barred]
+    return -max(fits)[1] if fits else None
+
+
+def _delete(df, model, memo, moves, log, lap, tried) -> bool:
+    """Removes the largest component within the size limit if the rest explains its rows better.
+
+    A component that could not be removed is left alone for ``retry_laps`` laps."""
     now = _sum_blocks(memo.blocks)
-    fits = [i for i, n in enumerate(now["N"]) if n <= moves.delete_size]
-    if not fits:
+    barred = {i for i, u in enumerate(memo.uids) if tried.get((u,), -99) + moves.retry_laps > lap}
+    target = delete_target(now["N"], moves.delete_size, barred)
+    if target is None:
         return False
-    target = min(fits, key=lambda i: (now["N"][i], i))
+    tried[(memo.uids[target],)] = lap
     params = model.global_step(remove_components(now, [target], len(memo.uids)))
     blocks = _rescored(df, model, params, memo)
     ok = model.objective(_sum_blocks(blocks)) >= model.objective(now) - moves.tolerance * model.scale(now["n"][0])

@@ -90,7 +90,8 @@ class RunStore:
         return at, nested_arrays({r["name"]: np.array(r["values"], float).reshape(r["shape"]) for r in rows})
 
     def log_trace(self, trace: list[dict]) -> None:
-        self._append("trace", [(float(t["lap"]), float(t["loss"]), int(t["k"])) for t in trace], "lap double, loss double, k int")
+        rows = [(float(t["lap"]), float(t["loss"]), int(t["k"]), t.get("seconds"), t.get("rows")) for t in trace]
+        self._append("trace", rows, "lap double, loss double, k int, seconds double, rows double")
 
     def log_counts(self, lap: float, uids: list[int], counts) -> None:
         self._append("counts", [(float(lap), int(u), float(n)) for u, n in zip(uids, counts)], "lap double, uid int, n double")
@@ -114,7 +115,7 @@ class RunStore:
         def on(event) -> None:
             if should_save(event.lap, seen["n"], every=every, early=early):
                 self.save(event.lap, event.params)
-                self.log_counts(event.lap, list(range(event.k)), event.stats["N"])
+                self.log_counts(event.lap, event.uids or list(range(event.k)), event.stats["N"])
             seen["n"] += 1
 
         return on

@@ -104,6 +104,27 @@ def test_streams(spark, tmp_path):
     assert len(fit.trace) == 3
 
 
+def test_a_restarted_stream_keeps_its_parameters(spark, tmp_path):
+    x, _ = toys.mixture(90, 2, 2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, x array<double>")
+    model, src = Mixture(DPMixture(), DiagGauss(2)), tmp_path / "in"
+    stats = P.init_stats(df, "id", model, 2)
+    parts = [df.where(f"id % 3 = {k}") for k in range(3)]
+    whole = OnlineFit(model, stats, n_total=90)
+    for epoch, part in enumerate(parts):
+        whole(part, epoch)
+        part.coalesce(1).write.mode("append").parquet(str(src)) if epoch == 0 else None
+        fit = OnlineFit(model, stats, n_total=90)
+        assert fit.resume(spark, str(tmp_path / "state")) == (epoch > 0)
+        if epoch > 0:
+            part.coalesce(1).write.mode("append").parquet(str(src))
+        fit.start(spark.readStream.schema(df.schema).parquet(str(src)), str(tmp_path / "cp")).awaitTermination()
+    assert fit.seen == 90 and [t["epoch"] for t in fit.trace] == [0, 1, 2]
+    assert np.allclose(fit.params["obs"]["x"], whole.params["obs"]["x"])
+    fit(parts[0], 2)  # handed out again
+    assert fit.seen == 90 and len(list((tmp_path / "state").glob("epoch-*.json"))) == 2
+
+
 def test_streaming_aggregates(spark, tmp_path):
     rows = spark.range(20).select((F.col("id") % 2).alias("s"), F.col("id").cast("double").alias("v"), F.timestamp_seconds(F.col("id") * 40000).alias("t"))
     rows.write.parquet(str(tmp_path / "in"))

@@ -224,3 +224,55 @@ def test_gibbs_query_fits_whole_vectors(spark, tmp_path):
     model = fits._dp()
     want = fits.P.fit_gibbs(fits._vectors(spark, str(tmp_path)), "vec_id", model, 5, sweeps=3)
     assert got == pytest.approx([t["loss"] for t in want.trace], abs=1e-7) and model.obs.post(model.obs.nat(want.stats))["m"].shape == (5, 64)
+
+
+@pytest.mark.parametrize("alloc,obs,alg", [
+    ("FiniteTopicModel", "Mult", "VB"), ("HDPTopic", "Mult", "memoVB"), ("FiniteTopic", "DiagGauss", "VB"), ("FiniteHMM", "DiagGauss", "VB"), ("HDPHMM", "Gauss", "memoVB"),
+    ("FiniteSMSB", "Bern", "VB"), ("FiniteMMSB", "Bern", "VB"), ("FiniteAssortativeMMSB", "Bern", "VB"), ("HDPMMSB", "Bern", "VB"), ("HDPAssortativeMMSB", "Bern", "VB"),
+])
+def test_run_takes_every_allocation_model(spark, alloc, obs, alg):
+    from mixloom.run import family, run
+    from mixloom.models.topics import documents_as_rows
+
+    kind = family(alloc)[0]
+    if kind == "blocks":
+        df = spark.createDataFrame([(a, b, float((a < 5) == (b < 5))) for a in range(10) for b in range(10) if a != b], "src bigint, dst bigint, x double")
+    elif obs == "Mult":
+        df = documents_as_rows(spark.createDataFrame(toys.bars(20, side=4, words=20), "doc_id bigint, word_id int, word_count double"))
+    else:
+        rng = np.random.default_rng(0)
+        df = spark.createDataFrame([(i, 8, rng.normal(size=16).tolist()) for i in range(6)], "seq_id bigint, n int, x array<double>")
+    model, best, losses = run(df, alloc, obs, alg, k=2, laps=2, batches=2)
+    assert np.isfinite(losses[0]) and len(best.uids) == 2 and model.name
+    with pytest.raises(ValueError):
+        run(df, alloc, obs, "EM", k=2)
+
+
+def test_a_run_goes_on_from_a_saved_one(spark, tmp_path):
+    from mixloom.run import run
+
+    df = vectors(spark).withColumnRenamed("id", "row_id")
+    _, first, _ = run(df, "DPMixture", "DiagGauss", "VB", k=4, laps=3, tol=0, output=str(tmp_path), job="a")
+    _, more, _ = run(df, "DPMixture", "DiagGauss", "VB", k=4, laps=1, tol=0, init=str(tmp_path / "a" / "1"))
+    _, whole, _ = run(df, "DPMixture", "DiagGauss", "VB", k=4, laps=4, tol=0, job="a")
+    assert more.losses[0] == pytest.approx(whole.losses[3]) and more.trace[0]["rows"] == 300
+
+
+def test_starts_from_truth_and_responsibilities(spark):
+    df, model = vectors(spark), Mixture(DPMixture(), L.DiagGauss(2, var=0.1))
+    labelled = df.withColumn("label", F.when(F.col("id") % 7 > 0, (F.col("id") % 3).cast("int")))
+    truth = P.init_stats(labelled, "id", model, 3, how="truth")
+    one_hot = F.array(*[(F.col("label") == k).cast("double") for k in range(3)])
+    resp = P.init_stats(labelled.where("label IS NOT NULL").withColumn("resp", one_hot), "id", model, 3, how="resp")
+    assert truth["N"].sum() == labelled.where("label IS NOT NULL").count()
+    assert all(np.allclose(truth[n], resp[n]) for n in ("N", "x", "xx", "entropy"))
+
+
+def test_delete_takes_the_component_that_the_query_names(spark):
+    from mixloom.operators import runs as R
+
+    for sizes, most in (([5.0, 900.0, 30.0, 30.0], 600), ([3.0, 2.0], 1)):
+        df = spark.createDataFrame(list(enumerate(sizes)), "k int, n double")
+        row = R.delete_target(df, "k", "n", most).first()
+        assert P.delete_target(sizes, most) == (row["k"] if row else None)
+    assert P.delete_target([5.0, 900.0, 30.0, 30.0], 600, barred={2, 3}) == 0
