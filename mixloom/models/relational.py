@@ -98,6 +98,29 @@ def _added(blocks: DataFrame, shapes: dict) -> list:
     return grouped.collect()
 
 
+#: Node factors up to this many bytes are broadcast to the edges; larger ones are joined by shuffles.
+BROADCAST_BYTES = 32 << 20
+
+
+def _at_ends(edges: DataFrame, nodes: DataFrame, value: str, prefix: str, n_nodes: int, k: int) -> DataFrame:
+    """Edges with ``value`` of both ends as ``prefix``_src and ``prefix``_dst."""
+    for end in ("src", "dst"):
+        one = nodes.select(F.col("node").alias(end), F.col(value).alias(f"{prefix}_{end}"))
+        edges = edges.join(F.broadcast(one) if n_nodes * (8 * k + 32) <= BROADCAST_BYTES else one, end)
+    return edges
+
+
+def _per_batch(f, kind: str):
+    """A pandas UDF of ``f`` over the rows of an array column, stacked to a matrix."""
+    import pandas as pd
+
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series(list(f(np.vstack(s.to_numpy())))) if len(s) else s
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, kind)
+
+
 def fit_single_blocks(edges: DataFrame, model: BlockModel, k: int, *, laps: int = 8, seed: int = 0, tol: float = 1e-5) -> tuple[DataFrame, dict, list[float]]:
     """(nodes (node, resp), parameters, losses) of the single-membership block model.
 
@@ -109,13 +132,11 @@ def fit_single_blocks(edges: DataFrame, model: BlockModel, k: int, *, laps: int
     h = F.md5(F.concat_ws("|", F.col("node").cast("string"), F.lit(str(seed))))
     first = (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % k).cast("int")
     nodes = cut(ids.select("node", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.when(i == first, 0.6).otherwise(0.4 / max(1, k - 1))).alias("resp")))
-    n_edges = edges.count()
+    n_edges, n_nodes = edges.count(), nodes.count()
     schema = "node bigint, payload binary, " + ", ".join(f"m{i} double" for i in range(k))
 
     def state(now, tables):
         """Bound pieces under ``now`` and, given score tables, each node's message."""
-        a, b = (now.select(F.col("node").alias(e), F.col("resp").alias(f"r_{e}")) for e in ("src", "dst"))
-
         def run(records):
             for r in records:
                 if not r.num_rows:
@@ -135,7 +156,7 @@ def fit_single_blocks(edges: DataFrame, model: BlockModel, k: int, *, laps: int
                     total = np.concatenate([total, sums])
                 yield pa.RecordBatch.from_pydict({"node": pa.array(cols["node"], pa.int64()), "payload": pa.array(cols["payload"], pa.binary())} | {f"m{i}": pa.array(total[:, i]) for i in range(k)})
 
-        out = cut(edges.join(a, "src").join(b, "dst").mapInArrow(run, schema))
+        out = cut(_at_ends(edges, now, "resp", "r", n_nodes, k).mapInArrow(run, schema))
         shapes = {"s1": (k, k), "s0": (k, k)}
         parts = [unpack(bytes(r["payload"]), shapes) for r in _added(out.where("node IS NULL").select("payload"), shapes)]
         s1, s0 = sum(p["s1"] for p in parts), sum(p["s0"] for p in parts)
@@ -147,7 +168,7 @@ def fit_single_blocks(edges: DataFrame, model: BlockModel, k: int, *, laps: int
 
     bound, s1, s0, n, _ = state(nodes, None)
     losses = [-bound / n_edges]
-    softmax = F.pandas_udf(lambda s: s.map(lambda v: (np.exp(v - np.max(v)) / np.exp(v - np.max(v)).sum()).tolist()), "array<double>")
+    softmax = _per_batch(lambda v: (e := np.exp(v - v.max(1, keepdims=True))) / e.sum(1, keepdims=True), "array<double>")
     for _ in range(laps):
         tables = model.edge_scores(s1 + model.lam1, s0 + model.lam0, k)
         theta = n + model.alpha / k
@@ -196,16 +217,15 @@ def fit_blocks(edges: DataFrame, model: BlockModel, k: int, *, laps: int = 8, se
         lam1 = lam1 + 1
     else:
         lam1, lam0 = lam1 + np.eye(k), lam0 + (1 - np.eye(k))
-    digamma_udf = F.pandas_udf(lambda s: s.map(lambda t: (digamma(np.asarray(t)) - digamma(np.asarray(t).sum())).tolist()), "array<double>")
+    digamma_udf = _per_batch(lambda t: digamma(t) - digamma(t.sum(1, keepdims=True)), "array<double>")
     losses: list[float] = []
     for lap in range(laps):
         rest = model.rest(rho)
         theta_all = F.concat("theta", F.array(F.lit(float(rest)))) if model.hdp else F.col("theta")
         factors = nodes.select("node", F.slice(digamma_udf(theta_all), 1, k).alias("elog"))
-        a, b = (factors.select(F.col("node").alias(e), F.col("elog").alias(f"elog_{e}")) for e in ("src", "dst"))
         t1, t0 = model.edge_scores(lam1, lam0, k)
         schema = "node bigint, payload binary, " + ", ".join(f"m{i} double" for i in range(k))
-        out = cut(edges.join(a, "src").join(b, "dst").mapInArrow(_edge_step(model, t1, t0, k), schema))
+        out = cut(_at_ends(edges, factors, "elog", "elog", n_nodes, k).mapInArrow(_edge_step(model, t1, t0, k), schema))
         shapes = {"s1": (k, k), "s0": (k, k), "h": (1,), "evidence": (1,), "n": (1,)}
         total = None
         for r in _added(out.where("node IS NULL").select("payload"), shapes):
@@ -219,16 +239,11 @@ def fit_blocks(edges: DataFrame, model: BlockModel, k: int, *, laps: int = 8, se
         # bound at the updated node factors and block rates
         rest = model.rest(rho)
 
-        def bound(s, rest=rest):
-            res = []
-            for t in s:
-                th = np.append(np.asarray(t), rest) if rest else np.asarray(t)
-                res.append(float(gammaln(th).sum() - gammaln(th.sum())))
-            import pandas as pd
-
-            return pd.Series(res)
+        def bound(t, rest=rest):
+            t = np.column_stack([t, np.full(len(t), rest)]) if rest else t
+            return gammaln(t).sum(1) - gammaln(t.sum(1))
 
-        node_part = nodes.agg(F.sum(F.pandas_udf(bound, "double")("theta"))).first()[0]
+        node_part = nodes.agg(F.sum(_per_batch(bound, "double")("theta"))).first()[0]
         first = np.append(prior, rest) if rest else prior
         loss = node_part + n_nodes * float(gammaln(first.sum()) - gammaln(first).sum()) + model.beta_bound(lam1, lam0, s1, s0) + float(total["h"][0])
         if model.assortative:

@@ -27,11 +27,42 @@ def by_dimension(df: DataFrame, x: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.posexplode(doubles(x)).alias("dim", "v"))
 
 
+def _matrices(rows):
+    """(places, values, known) of the rows of an Arrow list column, per length of row; nulls are 0 and not known."""
+    import numpy as np
+
+    ends, flat = rows.offsets.to_numpy() - rows.offsets[0].as_py(), rows.flatten()
+    values, known = flat.fill_null(0.0).to_numpy(zero_copy_only=False), flat.is_valid().to_numpy(zero_copy_only=False).astype(float)
+    size = np.diff(ends)
+    for d in np.unique(size[size > 0]).tolist():
+        own = np.flatnonzero(size == d)
+        places = ends[own][:, None] + np.arange(d)
+        yield own, values[places], known[places]
+
+
 def diag_stats(df: DataFrame, label: str, x: str) -> DataFrame:
-    """(label, dim, n, sx, sxx): additive, with partial sums before the shuffle."""
-    return by_dimension(df.where(F.col(label).isNotNull()), x, label).groupBy(label, "dim").agg(
-        F.count("v").alias("n"), F.sum("v").alias("sx"), F.sum(F.col("v") * F.col("v")).alias("sxx")
-    )
+    """(label, dim, n, sx, sxx): additive. Sums are taken per label in each batch of rows, so no row
+    is taken apart; null entries count for nothing."""
+
+    def sums(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            coded = batch.column("label").dictionary_encode()
+            codes = coded.indices.to_numpy()
+            for own, v, w in _matrices(batch.column("x")):
+                order = np.argsort(codes[own], kind="stable")
+                mine = codes[own][order]
+                first = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1])))
+                n, sx, sxx = (np.add.reduceat(m[order], first, axis=0) for m in (w, v, v * v))
+                d = v.shape[1]
+                names = coded.dictionary.take(pa.array(np.repeat(mine[first], d)))
+                yield pa.record_batch({"label": names, "dim": pa.array(np.tile(np.arange(d, dtype=np.int32), len(first))), "n": pa.array(n.ravel().astype(np.int64)), "sx": pa.array(sx.ravel()), "sxx": pa.array(sxx.ravel())})
+
+    rows = df.where(F.col(label).isNotNull() & F.col(x).isNotNull()).select(F.col(label).alias("label"), doubles(x).alias("x"))
+    parts = rows.mapInArrow(sums, f"label {df.schema[label].dataType.simpleString()}, dim int, n bigint, sx double, sxx double")
+    return parts.groupBy(F.col("label").alias(label), "dim").agg(F.sum("n").alias("n"), F.when(F.sum("n") > 0, F.sum("sx")).alias("sx"), F.when(F.sum("n") > 0, F.sum("sxx")).alias("sxx"))
 
 
 def full_stats(df: DataFrame, label: str, x: str, block: int = 4_000_000) -> DataFrame:
@@ -133,10 +164,26 @@ def nearest(df: DataFrame, x: str, centres: DataFrame, label: str, *, keep: list
 
 
 def soft_stats(resp: DataFrame, x: str) -> DataFrame:
-    """(label, dim, n, sx, sxx) weighted by responsibilities; ``resp`` has labels, resp and ``x``."""
-    long = resp.select(F.col(x).cast("array<double>").alias("_x"), F.inline(F.arrays_zip(F.col("labels").alias("label"), F.col("resp").alias("r"))))
-    long = long.select("label", "r", F.posexplode("_x").alias("dim", "v"))
-    return long.groupBy("label", "dim").agg(F.sum("r").alias("n"), F.sum(F.col("r") * F.col("v")).alias("sx"), F.sum(F.col("r") * F.col("v") * F.col("v")).alias("sxx"))
+    """(label, dim, n, sx, sxx) weighted by responsibilities; ``resp`` has labels (the same in every
+    row), resp and ``x``. Sums are matrix products of batches; null entries of x add to n only."""
+
+    def sums(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column("labels").slice(0, 1).flatten()
+            r = batch.column("resp").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(names))
+            for own, v, _ in _matrices(batch.column("x")):
+                d, k = v.shape[1], len(names)
+                n, sx, sxx = np.repeat(r[own].sum(0), d), r[own].T @ v, r[own].T @ (v * v)
+                yield pa.record_batch({"label": names.take(pa.array(np.repeat(np.arange(k), d))), "dim": pa.array(np.tile(np.arange(d, dtype=np.int32), k)), "n": pa.array(n), "sx": pa.array(sx.ravel()), "sxx": pa.array(sxx.ravel())})
+
+    kind = resp.schema["labels"].dataType.elementType.simpleString()
+    parts = resp.where(F.col(x).isNotNull()).select("labels", "resp", doubles(x).alias("x")).mapInArrow(sums, f"label {kind}, dim int, n double, sx double, sxx double")
+    return parts.groupBy("label", "dim").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sxx")])
 
 
 def resp_entropy(resp: DataFrame) -> DataFrame:
