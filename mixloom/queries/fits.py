@@ -1,4 +1,4 @@
-"""Iterative fits as queries: one row per lap, component, or item. No SQL expresses them; tests do."""
+"""Iterative fits as queries: one row per lap, component, or item. SQL follows single laps only (``laps``); tests hold the rest."""
 
 from __future__ import annotations
 
@@ -16,11 +16,12 @@ from mixloom.models.relational import BlockModel, fit_blocks
 from mixloom.models.topics import GroupTopicModel, TopicModel, documents_as_rows, fit_group_topics, fit_topics, heldout_scores, topic_correlations
 from mixloom.operators import datasets as D
 from mixloom.operators import graph as G
+from mixloom.operators.bow import owner_by_range
 from mixloom.plans import fit as P
 from mixloom.plans.grow import fit_grow
 from mixloom.queries.structure import _edges
 from mixloom.sources.readers import fill_missing
-from mixloom.session import bounded_rows, checkpoint_dir, spread, table
+from mixloom.session import bounded_rows, checkpoint_dir, cut, spread, table
 
 
 def _vectors(spark, d, batches=4):
@@ -102,7 +103,11 @@ def q_topic_correlations(spark, d):
 
 
 def _bag_rows(spark, d):
-    b = table(spark, d, "bow_tokens").where("doc_id IS NOT NULL AND word_id IS NOT NULL AND word_count > 0 AND NOT isnan(word_count)").dropDuplicates(["token_pos"])
+    good = table(spark, d, "bow_tokens").where("token_pos IS NOT NULL AND word_id IS NOT NULL AND word_count > 0 AND NOT isnan(word_count)")
+    b = cut(good.groupBy("token_pos").agg(*[F.min(c).alias(c) for c in ("doc_id", "word_id", "word_count")]))
+    lost = b.where("doc_id IS NULL").drop("doc_id")  # an entry without its document is that of the range that holds it
+    owned = lost.join(owner_by_range(lost, table(spark, d, "bow_docs")), "token_pos").withColumnRenamed("owner", "doc_id")
+    b = b.where("doc_id IS NOT NULL").unionByName(owned)
     b = b.join(table(spark, d, "vocab").select("word_id").distinct(), "word_id", "left_semi")
     v = table(spark, d, "vocab").agg(F.max("word_id")).first()[0] + 1
     bag = b.groupBy("doc_id", "word_id").agg(F.sum("word_count").alias("word_count"))

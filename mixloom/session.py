@@ -26,7 +26,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if wanted:
         sc.setCheckpointDir(wanted)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local["):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="mixloom-checkpoint-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)

@@ -128,11 +128,16 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("p")[at].cast("bigint").alias("src"), F.col("p")[at + 1].cast("bigint").alias("dst"), values.alias("x"))
 
 
-def batch_files(path: str) -> list[str]:
-    """The batch files of a directory, sorted by name: all of the first kind that is there."""
-    names = sorted(os.listdir(path))
+def batch_files(path: str, spark: SparkSession | None = None) -> list[str]:
+    """The batch files of a directory, sorted by name: all of the first kind that is there.
+
+    The listing goes through Hadoop's file systems, so the directory may be on any store."""
+    spark = spark or SparkSession.getActiveSession()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    names = sorted(str(f.getPath().getName()) for f in found if f.isFile())
     for kind in BATCH_KINDS:
-        own = [os.path.join(path, n) for n in names if n.endswith(kind)]
+        own = [f"{path.rstrip('/')}/{n}" for n in names if n.endswith(kind)]
         if own:
             return own
     raise FileNotFoundError(f"no batch files in {path}")
