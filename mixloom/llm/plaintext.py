@@ -39,8 +39,8 @@ class Fold(dict):
 
 
 FOLD = Fold()
-BLOCK_TAG = re.compile(r"<\s*/?\s*(?:br|p|div|li|ul|ol|tr|td|th|table|h[1-6]|hr|blockquote|pre|a|img)\b[^<>]{0,300}>", re.I)
-TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>")
+BLOCK_TAG = re.compile(r"<\s*/?\s*(?:br|p|div|li|ul|ol|tr|td|th|table|h[1-6]|hr|blockquote|pre|a|img)\b[^<>]*>", re.I)
+TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 BROKEN = re.compile(r"(?<=[^\W\d_])[-­]\s*\n[\s>|*#]*(?=[^\W\d_])")
 ASCII_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 WORD = re.compile(r"[^\W_]+")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mixloom.llm.events import events_sql
@@ -13,7 +13,7 @@ from mixloom.llm.spam import page_scores, spam_pages
 from mixloom.llm.splits import assign_splits, tied_groups
 from mixloom.llm.subsequences import frequent_subsequences
 from mixloom.llm.terms import term_frequencies
-from mixloom.session import table
+from mixloom.session import cut, table
 
 
 def p2_patterns(spark: SparkSession, d: str) -> DataFrame:
@@ -33,6 +33,17 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return assign_splits(table(spark, d, "metadata_per_seq"), table(spark, d, "subj_aliases"), table(spark, d, "split_shares"))
 
 
+def p3_check(spark: SparkSession, d: str) -> DataFrame:
+    """What any split must keep: every trial once, no tied group in two splits, and each split within one group of its share."""
+    placed = p3_splits(spark, d)
+    groups = placed.groupBy("first_seq_id").agg(F.count("*").alias("size"), F.count_distinct("split_name").alias("splits"))
+    whole = groups.agg(F.sum("size").alias("n_trials"), F.count("*").alias("n_groups"), F.count(F.when(F.col("splits") > 1, 1)).alias("n_torn"), F.max("size").alias("largest"))
+    shares = table(spark, d, "split_shares").select("split_name", (F.col("share") / F.sum("share").over(Window.partitionBy(F.lit(1)))).alias("share"))
+    got = shares.join(placed.groupBy("split_name").agg(F.count("*").alias("n")), "split_name", "left").fillna(0, "n").join(F.broadcast(whole))
+    far = F.abs(F.col("n") - F.col("share") * F.col("n_trials")) > F.col("largest")
+    return got.agg(F.max("n_trials").alias("n_trials"), F.max("n_groups").alias("n_groups"), F.max("n_torn").alias("n_torn"), F.count(F.when(far, 1)).alias("n_far"))
+
+
 def p4_runs(spark: SparkSession, d: str) -> DataFrame:
     return collapse_runs(table(spark, d, "actions_per_tstep"), table(spark, d, "action_names"))
 
@@ -62,6 +73,15 @@ def p6_windows(spark: SparkSession, d: str) -> DataFrame:
     return pack_windows(table(spark, d, "documents"))
 
 
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    """What any packing must keep: every text with all its tokens once, no window too full, no text cut without need."""
+    packed = cut(p6_windows(spark, d))
+    texts = packed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"), F.max(F.col("first_token") + F.col("n_tokens")).alias("stop"))
+    fills = packed.groupBy("window").agg(F.sum("n_tokens").alias("fill"))
+    wrong = texts.agg(F.count("*").alias("n_texts"), F.count(F.when(F.col("tokens") != F.col("stop"), 1)).alias("n_incomplete"), F.count(F.when(F.col("pieces") != F.ceil(F.col("tokens") / 2048), 1)).alias("n_cut_without_need"))
+    return wrong.join(fills.agg(F.count(F.when(F.col("fill") > 2048, 1)).alias("n_too_full")))
+
+
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return eval_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -115,6 +135,7 @@ SELECT pattern, length, support, n AS n_sequences FROM held, total WHERE support
 QUERIES = {
     "p2_found": p2_found,
     "p2_patterns": p2_patterns,
+    "p3_check": p3_check,
     "p3_found": p3_found,
     "p3_splits": p3_splits,
     "p4_found": p4_found,
@@ -122,6 +143,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_terms": p5_terms,
     "p6_windows": p6_windows,
+    "p6_check": p6_check,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p8_found": p8_found,
@@ -133,6 +155,8 @@ SQL = {
     "p4_found": f"SELECT seq_id, first_tstep_id, last_tstep_id FROM ({_RUNS}) WHERE n_events >= 2",
     "p4_runs": _RUNS,
     "p3_found": f"{_TIED} SELECT first_seq_id, seq_id FROM tied WHERE first_seq_id <> seq_id",
+    "p3_check": f"{_TIED} SELECT count(*) AS n_trials, count(DISTINCT first_seq_id) AS n_groups, 0 AS n_torn, 0 AS n_far FROM tied",
+    "p6_check": "SELECT count(*) AS n_texts, 0 AS n_incomplete, 0 AS n_cut_without_need, 0 AS n_too_full FROM documents WHERE text <> ''",
     "p5_found": f"SELECT term, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",
     "p5_terms": _TERMS,
 }
